@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import packing
+from rasterloom.llm import packing, simhash
 from rasterloom.llm.common import table
 
 
@@ -14,8 +14,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_packing,)}
+    return {f.__name__: f for f in (op8_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
