@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import langid, packing, secret_scan, simhash, toxicity
+from rasterloom.llm import embed_dedup, langid, packing, secret_scan, simhash, toxicity
 from rasterloom.llm.common import table
 
 
@@ -26,12 +26,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.query(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_language, op6_secrets, op8_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op5_language, op6_secrets, op8_packing, op9_embeddings, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
