@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import embed_dedup, langid, packing, secret_scan, simhash, toxicity
+from rasterloom.llm import embed_dedup, langid, packing, quality, secret_scan, simhash, toxicity
 from rasterloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.query(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_language, op6_secrets, op8_packing, op9_embeddings, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op5_language, op6_secrets, op7_quality, op8_packing, op9_embeddings, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
