@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import embed_dedup, langid, packing, quality, secret_scan, simhash, toxicity
+from rasterloom.llm import embed_dedup, langid, line_dedup, mixing, packing, quality, secret_scan, simhash, toxicity
 from rasterloom.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.query(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.query(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query(table(spark, sf_dir, "documents"))
 
@@ -39,8 +47,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_language, op6_secrets, op7_quality, op8_packing, op9_embeddings, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op4_mixing, op5_language, op6_secrets, op7_quality, op8_packing, op9_embeddings, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op4_mixing": mixing.ORACLE}
