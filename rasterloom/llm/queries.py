@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import embed_dedup, langid, line_dedup, mixing, packing, quality, secret_scan, simhash, toxicity
+from rasterloom.llm import embed_dedup, langid, license_scan, line_dedup, mixing, packing, quality, secret_scan, simhash, toxicity
 from rasterloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.query(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.query(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
@@ -47,8 +51,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op4_mixing, op5_language, op6_secrets, op7_quality, op8_packing, op9_embeddings, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_licenses, op4_mixing, op5_language, op6_secrets, op7_quality, op8_packing, op9_embeddings, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op4_mixing": mixing.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op3_licenses": license_scan.oracle(), "op4_mixing": mixing.ORACLE}
