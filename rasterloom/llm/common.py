@@ -23,12 +23,19 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names; one of our own only where none is set."""
+    context = spark.sparkContext
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="rasterloom-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if not spark.conf.get("spark.checkpoint.dir", None) and jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rasterloom-checkpoint-"))
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -110,3 +117,25 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
+
+
+def whole_groups(batches, keys: int):
+    """Lists of batches, each the rows of one group, from batches sorted by their first `keys` whole-number columns."""
+    import numpy as np
+
+    held: list = []
+    name = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(keys)])
+        cuts = [0, *(np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            now = tuple(cols[:, a].tolist())
+            if held and now != name:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+            name = now
+    if held:
+        yield held

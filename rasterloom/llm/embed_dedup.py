@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import components, materialize, small_batches
+from rasterloom.llm.common import components, materialize, small_batches, whole_groups
 
 #: Cells are cut into blocks of the first size up to SPREAD blocks, then into SPREAD larger ones, up to the second.
 BLOCK, SPREAD, LARGEST = 256, 16, 2048
@@ -196,22 +196,8 @@ def query(rows: DataFrame, threshold: float = 0.9, recall: float = 0.97) -> Data
             pairs = np.array(forest(near), np.int64).reshape(-1, 2)
             return ids[pairs[:, 0]], ids[pairs[:, 1]]
 
-        held: list[pa.RecordBatch] = []
-        name = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                now = tuple(keys[:, a].tolist())
-                if held and now != name:
-                    yield from found(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                name = now
-        if held:
-            yield from found(held)
+        for parts in whole_groups(batches, 4):
+            yield from found(parts)
 
     columns = [*group, "own", "id", "copies", "raw", "marks"]
     hits = materialize(dealt.select(*columns).repartition(*group).sortWithinPartitions(*group).mapInArrow(search, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))

@@ -13,18 +13,24 @@ lost. Exact copies share one fingerprint and never meet in pairs.
 Nulls count as empty texts; texts of no words have fingerprint zero and are linked like any other. A null doc_id is
 kept with its fingerprint, and never names a component that has another doc_id. Repeated rows come back as often
 as they came. An empty table gives no rows. Extra columns don't matter.
+
+`one_of_each` links by a similarity of shingles rather than by a few bits. Five-word shingles of a Jaccard similarity of
+0.8 differ in about 15 % of the bits, too many for a guarantee, so it takes fingerprints of 512 bits, posts them under
+as many random combinations of positional bytes as the recall asks for, and links pairs whose differing bits estimate
+a similarity of 0.8 or more, within one standard error. Texts of equal words are one, whatever their length.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import components, materialize, small_batches
+from rasterloom.llm.common import components, fresh, materialize, small_batches, whole_groups
 
 SEED = 42
 #: Rows of a block: postings are cut into blocks of the first size up to SPREAD blocks, then into SPREAD larger ones, up to the second.
@@ -193,3 +199,123 @@ def classes(docs: DataFrame, width: int = 4, bits: int = 4, block: int = BLOCK)
 
 def query(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Words of 64 bits in a wide fingerprint.
+WIDE = 8
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> tuple[bytes, bytes]:
+    """A digest of a whole text's words, and the 512-bit SimHash of its shingles."""
+    from xxhash import xxh64_digest, xxh128_digest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    line = b" ".join(words)
+    if not words:
+        return xxh128_digest(line), bytes(8 * WIDE)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    n = max(1, len(words) - width + 1)
+    first = [0, *ends[: n - 1].tolist()]
+    last = (ends[width - 1 :] - 1).tolist() if len(words) >= width else [len(line)]
+    ones = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, n, SHINGLES):
+        h = np.frombuffer(b"".join([xxh64_digest(line[a:b], SEED) for a, b in zip(first[at : at + SHINGLES], last[at : at + SHINGLES], strict=True)]), np.uint64)
+        for k in range(WIDE):  # further bits come from the first by mixing
+            mixed = (h ^ np.uint64((0x9E3779B97F4A7C15 * k) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(31)
+            mixed *= np.uint64(0x94D049BB133111EB)
+            mixed ^= mixed >> np.uint64(29)
+            rows = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1)
+            for lo in range(0, len(rows), 255):
+                ones[64 * k : 64 * k + 64] += np.add.reduce(rows[lo : lo + 255], axis=0, dtype=np.uint8)
+    return xxh128_digest(line), np.packbits(2 * ones > n).tobytes()
+
+
+def differing(similarity: float, errors: float = 1.0) -> int:
+    """The bits in which wide fingerprints of that Jaccard similarity differ, and so many standard errors more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * WIDE
+    return int(n * p + errors * math.sqrt(n * p * (1 - p)))
+
+
+def places(rows: int, similarity: float, recall: float = 0.95, slack: float = 0.05) -> list[tuple[int, ...]]:
+    """Random combinations of positional bytes: pairs of similarity + slack share one whole with probability recall."""
+    size = 3 if rows < 1 << 24 else 4
+    j = min(0.999, similarity + slack)
+    same = (1 - math.acos(2 * j / (1 + j)) / math.pi) ** 8
+    n = math.ceil(math.log(1 - recall) / math.log(1 - same**size))
+    g = np.random.default_rng(SEED)
+    return [tuple(sorted(g.choice(8 * WIDE, size, replace=False).tolist())) for _ in range(n)]
+
+
+def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, first): each document's smallest doc_id of those that its links reach, itself included."""
+    import pyarrow as pa
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(t.as_py(), width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], pa.binary()) for k in (0, 1))], names=["doc_id", "digest", "wide"])
+
+    small_batches(docs.sparkSession)
+    named = docs.select("doc_id", "text").where("doc_id is not null")
+    marks = materialize(named.mapInArrow(mark, "doc_id long, digest binary, wide binary"))
+    nodes = materialize(marks.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide")))
+    combos, most = places(nodes.count(), similarity), differing(similarity)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int64)
+            node = batch.column(0)
+            for t, combo in enumerate(combos):
+                key = np.full(len(wide), t, np.int64)
+                for p in combo:
+                    key = key << 8 | wide[:, p]
+                yield pa.RecordBatch.from_arrays([node, pa.array(key)], names=["node", "key"])
+
+    small_batches(docs.sparkSession, 20_000)
+    posts = nodes.select("node", "wide").mapInArrow(post, "node long, key long")
+    sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = F.greatest(F.least(F.ceil(F.col("n") / BLOCK), F.lit(SPREAD)), F.ceil(F.col("n") / LARGEST)).cast("int")
+    dealt = (
+        posts.join(sizes, "key")
+        .withColumn("parts", parts)
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.expr("case when parts = 1 then array(0) else filter(sequence(0, parts - 1), x -> x != own) end")))
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node")
+        .join(nodes.select("node", "wide"), "node")
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, 3):
+            group = pa.Table.from_batches(part).combine_chunks()
+            ids = group.column(3).to_numpy()
+            wide = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint64).reshape(len(ids), -1)
+            left = np.arange(len(ids))
+            while len(left) > 1:  # a spanning forest of the group's links
+                todo, left = [int(left[0])], left[1:]
+                while todo and len(left):
+                    i = todo.pop()
+                    hit = np.bitwise_count(wide[left] ^ wide[i]).sum(axis=1, dtype=np.int64) <= most
+                    if hit.any():
+                        found, left = left[hit], left[~hit]
+                        todo.extend(found.tolist())
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ids[i])), pa.array(ids[found])], names=["a", "b"])
+
+    group = ["key", "lo", "hi"]
+    near = dealt.select(*group, "node", "wide").repartition(*group).sortWithinPartitions(*group).mapInArrow(search, "a long, b long").distinct()
+    members = components(near)
+    firsts = nodes.join(members, "node", "left").select("digest", F.coalesce("component", "node").alias("first"))
+    return marks.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "first")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The first document of each group of near-duplicates, with the columns it came with.
+
+    Only the ids of documents that go are joined with the documents. Rows that repeat a doc_id stay or go together
+    unless equal texts under one id repeat, which stay; a null doc_id stays.
+    """
+    gone = materialize(near_classes(docs, width, similarity).where("doc_id != first").select(F.col("doc_id").alias(fresh("gone_id", docs))).distinct())
+    return docs.join(gone, docs["doc_id"] == gone[0], "left_anti")
