@@ -17,7 +17,7 @@ as they came. An empty table gives no rows. Extra columns don't matter.
 `one_of_each` links by a similarity of shingles rather than by a few bits. Five-word shingles of a Jaccard similarity of
 0.8 differ in about 15 % of the bits, too many for a guarantee, so it takes fingerprints of 512 bits, posts them under
 as many random combinations of positional bytes as the recall asks for, and links pairs whose differing bits estimate
-a similarity of 0.8 or more, within one standard error. Texts of equal words are one, whatever their length.
+a similarity of 0.8 or more, within half a standard error. Texts of equal words are one, whatever their length.
 """
 
 from __future__ import annotations
@@ -231,7 +231,7 @@ def wide_fingerprint(text: str | None, width: int = 5) -> tuple[bytes, bytes]:
     return xxh128_digest(line), np.packbits(2 * ones > n).tobytes()
 
 
-def differing(similarity: float, errors: float = 1.0) -> int:
+def differing(similarity: float, errors: float = 0.5) -> int:
     """The bits in which wide fingerprints of that Jaccard similarity differ, and so many standard errors more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = 64 * WIDE
