@@ -46,18 +46,29 @@ def word_sums(words: list[str], sizes: tuple[int, ...], values: np.ndarray, mean
     return out
 
 
-def sample(rows: DataFrame, label: str, per_label: int, most_chars: int, labels: int = 256) -> list:
-    """About per_label rows (text, label) of each label, by the hash of doc_id; longer texts than most_chars stay out.
+def shares(rows: DataFrame, label: str, per_label: int, labels: int = 256) -> tuple[DataFrame, int]:
+    """About per_label rows of each label, by the hash of doc_id, and a bound on how many.
 
-    Both bounds hold at every size of the table: the share that is taken shrinks as a label's rows grow.
+    The bound holds at every size of the table: the share that is taken shrinks as a label's rows grow.
     """
-    fit = rows.where(F.col("text").isNotNull() & F.col(label).isNotNull() & (F.length("text") <= most_chars))
-    counts = fit.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
+    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
     share = F.lit(None).cast("double")
     for r in counts:
         share = F.when(F.col(label) == r[0], F.lit(per_label / r["count"])).otherwise(share)
     spot = F.xxhash64("doc_id").bitwiseAND(0xFFFFFFFF) / F.lit(float(1 << 32))
-    return sorted(fit.where(spot < share).select("doc_id", "text", label).limit(2 * per_label * max(1, len(counts))).collect(), key=lambda r: (r[0], str(r[2]), r[1]))
+    most = 2 * per_label * max(1, len(counts))
+    return rows.where(spot < share).limit(most), most
+
+
+def sample(rows: DataFrame, label: str, per_label: int, most_chars: int) -> list:
+    """About per_label rows (doc_id, text, label) of each label; longer texts than most_chars stay out."""
+    fit = rows.where(F.col("text").isNotNull() & F.col(label).isNotNull() & (F.length("text") <= most_chars))
+    taken, _ = shares(fit, label, per_label)
+    return in_order(taken.select("doc_id", "text", label).collect())
+
+
+def in_order(rows: list) -> list:
+    return sorted(rows, key=lambda r: (r[0], str(r[2]), r[1]))
 
 
 class Vocabulary:

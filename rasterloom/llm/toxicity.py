@@ -9,7 +9,8 @@ Labels mark texts, not windows, so training is by multiple instances: a first li
 the likeliest windows of each text, the network learns from those (and from random windows of clean texts), then picks
 windows itself and learns again. At the end the logit's offset is set on whole training texts.
 
-It learns from at most about `per_label` texts of each label, of `most_chars` characters at most. Empty and null texts
+It learns from about `per_label` labelled ids of each label, those of them whose texts have `most_chars` characters at
+most. Empty and null texts
 are one empty window and score as such. With no labels of both kinds every score is 0.0. A null doc_id is kept.
 Repeated rows come back as often as they came; an empty table gives no rows; extra columns don't matter.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import held_out, small_batches
-from rasterloom.llm.ngrams import Vocabulary, hashed, sample
+from rasterloom.llm.ngrams import Vocabulary, hashed, in_order, shares
 
 WORD = re.compile(r"[^\W_]+")
 WINDOW, STRIDE = 16, 8
@@ -315,8 +316,9 @@ def query(docs: DataFrame, labels: DataFrame, per_label: int = 2500, most_chars:
     """
     import pyarrow as pa
 
-    known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    net = fit(sample(docs.select("doc_id", "text").join(known, "doc_id"), "toxic", per_label, most_chars))
+    known, most = shares(labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))), "toxic", per_label)
+    marked = docs.select("doc_id", "text").where(F.length("text") <= most_chars).join(F.broadcast(known), "doc_id")  # `most` rows at most
+    net = fit(in_order(marked.select("doc_id", "text", "toxic").limit(2 * most).collect()))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of one size, whatever the corpus
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
