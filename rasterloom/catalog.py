@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from rasterloom.plans import tables
+from rasterloom.plans import containers, tables
+
+__all__ = ["containers", "oracle_sql", "queries"]
 
 
 def queries() -> dict:
