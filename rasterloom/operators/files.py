@@ -84,3 +84,26 @@ def read_pixels(spark, path: str, fmt: str = "tiff", **options) -> DataFrame:
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load(path)
+
+
+def window_bytes(spark, path: str, fmt: str = "tiff", **options) -> DataFrame:
+    """(path, ifd_index, rows, cols, bands, dtype, bytes): windows whole, samples side by side in the machine's byte order.
+
+    Each image's window must fit a record (2 GB); options are those of the data source, as window, band or decoded.
+    """
+    reader = tiff.register(spark).read.format(fmt).option("table", "samples")
+    for k, v in options.items():
+        reader = reader.option(k, v)
+
+    def gather(parts: pa.Table) -> pa.Table:
+        rows = parts.to_pylist()
+        top, left = min(r["row"] for r in rows), min(r["col"] for r in rows)
+        first = min(r["band"] for r in rows)
+        shape = (max(r["row"] + r["rows"] for r in rows) - top, max(r["col"] + r["cols"] for r in rows) - left, max(r["band"] + r["bands"] for r in rows) - first)
+        out = np.zeros(shape, rows[0]["dtype"])
+        for r in rows:
+            y, x, b = r["row"] - top, r["col"] - left, r["band"] - first
+            out[y : y + r["rows"], x : x + r["cols"], b : b + r["bands"]] = np.frombuffer(r["samples"], r["dtype"]).reshape(r["rows"], r["cols"], r["bands"])
+        return pa.Table.from_pylist([{"path": rows[0]["path"], "ifd_index": rows[0]["ifd_index"], "rows": shape[0], "cols": shape[1], "bands": shape[2], "dtype": rows[0]["dtype"], "bytes": out.tobytes()}])
+
+    return reader.load(path).groupBy("path", "ifd_index").applyInArrow(gather, "path string, ifd_index int, rows long, cols long, bands long, dtype string, bytes binary")

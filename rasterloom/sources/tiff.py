@@ -43,6 +43,7 @@ SCHEMAS = {
     "images": f"path STRING, ifd_index INT, top_level_ifd_index INT, role STRING, overview INT, width INT, height INT, spp INT, bits INT, sample_format INT, compression INT, photometric INT, planar INT, predictor INT, "
     f"is_tiled BOOLEAN, block_w INT, block_h INT, byte_order STRING, is_bigtiff BOOLEAN, layout_error STRING, tags {TAGS}, geo {GEO}",
     "blocks": "path STRING, ifd_index INT, block_index INT, plane INT, x INT, y INT, cols INT, rows INT, block_w INT, block_h INT, offset BIGINT, byte_count BIGINT, payload BINARY",
+    "samples": "path STRING, ifd_index INT, block_index INT, band INT, row INT, col INT, rows INT, cols INT, bands INT, dtype STRING, samples BINARY",
     "pixels": "path STRING, ifd_index INT, row INT, col INT, band INT, value DOUBLE",
 }
 #: Files up to which the driver opens them all to cut partitions within them.
@@ -174,7 +175,8 @@ def block_rows(path: str, tiff: container.Tiff, ifd: container.Ifd, blocks: list
         }
 
 
-def pixel_batches(path: str, tiff: container.Tiff, ifd: container.Ifd, blocks: list[container.Block], window: tuple[int, int, int, int], ask: Ask) -> Iterator[pa.RecordBatch]:
+def decoded_parts(tiff: container.Tiff, ifd: container.Ifd, blocks: list[container.Block], window: tuple[int, int, int, int], ask: Ask) -> Iterator[tuple]:
+    """(block, row, col, first band, [rows, cols, bands]) of what each block holds of the window."""
     r0, c0, rows, cols = window
     lay = ifd.layout()
     for b in blocks:
@@ -187,11 +189,16 @@ def pixel_batches(path: str, tiff: container.Tiff, ifd: container.Ifd, blocks: l
             data, first = tiff.decode(ifd, b)[top - b.y : end - b.y, left - b.x : right - b.x], b.plane
         if ask.band is not None and not (lay.planar == 2 and not ask.decoded):
             data, first = data[:, :, ask.band : ask.band + 1], ask.band
+        yield b, top, left, first, data
+
+
+def pixel_batches(path: str, tiff: container.Tiff, ifd: container.Ifd, blocks: list[container.Block], window: tuple[int, int, int, int], ask: Ask) -> Iterator[pa.RecordBatch]:
+    for _, top, left, first, data in decoded_parts(tiff, ifd, blocks, window, ask):
         h, w, n = data.shape
         spread = lambda a, axis, shape=data.shape: np.broadcast_to(a.reshape([-1 if k == axis else 1 for k in range(3)]), shape).ravel().astype(np.int32)
         count = h * w * n
         yield pa.RecordBatch.from_arrays(
-            [pa.DictionaryArray.from_arrays(pa.array(np.zeros(count, np.int32)), pa.array([path])).cast(pa.string()), pa.array(np.full(count, ifd.index, np.int32)), pa.array(spread(np.arange(top, end), 0)), pa.array(spread(np.arange(left, right), 1)),
+            [pa.DictionaryArray.from_arrays(pa.array(np.zeros(count, np.int32)), pa.array([path])).cast(pa.string()), pa.array(np.full(count, ifd.index, np.int32)), pa.array(spread(np.arange(top, top + h), 0)), pa.array(spread(np.arange(left, left + w), 1)),
              pa.array(spread(np.arange(first, first + n), 2)), pa.array(data.astype(np.float64).ravel())],
             names=["path", "ifd_index", "row", "col", "band", "value"],
         )
@@ -237,7 +244,11 @@ def file_batches(path: str, tiff: container.Tiff, ask: Ask, ifd_offset: int | No
         if only is not None:
             keep = set(only)
             blocks = [b for b in blocks if b.index in keep]
-        if ask.table == "blocks":
+        if ask.table == "samples":
+            for b, top, left, first, data in decoded_parts(tiff, ifd, blocks, window, ask):
+                row = {"path": path, "ifd_index": ifd.index, "block_index": b.index, "band": first, "row": top, "col": left, "rows": data.shape[0], "cols": data.shape[1], "bands": data.shape[2], "dtype": data.dtype.str[1:], "samples": data.tobytes()}
+                yield pa.RecordBatch.from_pylist([row], schema=arrow_schema("samples"))
+        elif ask.table == "blocks":
             for at in range(0, len(blocks), 64):
                 yield pa.RecordBatch.from_pylist(list(block_rows(path, tiff, ifd, blocks[at : at + 64], ask.payload)), schema=arrow_schema("blocks"))
         else:
