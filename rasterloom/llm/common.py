@@ -64,16 +64,17 @@ def ranked(df: DataFrame, keys: list[str], hashed: str, ties: list[str], rank: s
     rows; ranks count within the bucket, after the sizes of the key's buckets before it.
     """
     bits = max(0, min(31, math.ceil(math.log2(max(1, rows / per_bucket)))))
-    cut = df.withColumn("_bucket", F.shiftright(F.col(hashed), 32 - bits) if bits else F.lit(0).cast("long"))
-    sizes = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(hashed, *ties)
+    bucket, size, start, inside = (fresh(n, df) for n in ("rank_bucket", "rank_size", "rank_start", "rank_inside"))
+    cut = df.withColumn(bucket, F.shiftright(F.col(hashed), 32 - bits) if bits else F.lit(0).cast("long"))
+    sizes = cut.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias(size))
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, bucket, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(start))
+    own = Window.partitionBy(*keys, bucket).orderBy(hashed, *ties)
     return (
-        cut.withColumn("_inside", F.row_number().over(inside) - 1)
-        .join(starts, [*keys, "_bucket"])
-        .withColumn(rank, F.col("_before") + F.col("_inside"))
-        .drop("_bucket", "_before", "_inside")
+        cut.withColumn(inside, F.row_number().over(own) - 1)
+        .join(starts, [*keys, bucket])
+        .withColumn(rank, F.col(start) + F.col(inside))
+        .drop(bucket, start, inside)
     )
 
 

@@ -68,7 +68,7 @@ def sample(rows: DataFrame, label: str, per_label: int, most_chars: int) -> list
 
 
 def in_order(rows: list) -> list:
-    return sorted(rows, key=lambda r: (r[0], str(r[2]), r[1]))
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, str(r[2]), r[1]))
 
 
 class Vocabulary:

@@ -92,10 +92,10 @@ class Network:
         """Logits of windows; gates are [step, window, 6 hidden], mask [step, window] is 1 where a word is."""
         steps, n, _ = gates.shape
         h2, h3 = 2 * HIDDEN, 3 * HIDDEN
-        states = np.zeros((steps, n, h2), np.float32)
+        states = np.zeros((steps, n, h2), gates.dtype)
         tape = []
         for s, order, lo in (("f", range(steps), 0), ("b", range(steps - 1, -1, -1), 1)):
-            u, h = self.p["u" + s], np.zeros((n, HIDDEN), np.float32)
+            u, h = self.p["u" + s], np.zeros((n, HIDDEN), gates.dtype)
             for t in order:
                 x, m = gates[t, :, lo * h3 : (lo + 1) * h3], mask[t][:, None]
                 zr = _sigmoid(x[:, :h2] + h @ u[:, :h2])
@@ -121,7 +121,7 @@ class Network:
         logits, (tape, states, hidden, a, pooled) = self.forward(gates, mask, keep=True)
         prob = _sigmoid(logits)
         g = {}
-        dl = ((prob - y) * weight / weight.sum()).astype(np.float32)
+        dl = ((prob - y) * weight / weight.sum()).astype(gates.dtype)
         g["wo"], g["bo"] = pooled.T @ dl, dl.sum(keepdims=True)
         dpool = dl[:, None] * p["wo"]
         da = (states * dpool).sum(axis=2)
@@ -135,7 +135,7 @@ class Network:
         for s, lo in (("b", 1), ("f", 0)):
             u = p["u" + s]
             du, dw, db = np.zeros_like(u), np.zeros_like(p["w" + s]), np.zeros_like(p["b" + s])
-            dh = np.zeros((x.shape[1], HIDDEN), np.float32)
+            dh = np.zeros((x.shape[1], HIDDEN), x.dtype)
             for side, t, h, z, r, c, m in reversed(tape):
                 if side != s:
                     continue
