@@ -372,7 +372,8 @@ def test_pipeline(spark, plain):
     rows = corpus_pipeline.run(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1")
-    kept = {r.doc_id: r for r in docs.collect() if r.doc_id in {q.doc_id for q in quality.query(docs, labels).where("kept").collect()}}
+    passed = {q.doc_id for q in quality.query(docs, labels).where("kept").collect()}
+    kept = {r.doc_id: r for r in docs.collect() if r.doc_id in passed}
     pages, holding = Counter(r.source for r in kept.values()), Counter()
     for r in kept.values():
         holding.update({(r.source, x.strip(" \t\n\x0b\x0c\r")) for x in r.text.split("\n")} - {(r.source, "")})
