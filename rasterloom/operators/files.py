@@ -95,6 +95,8 @@ def window_bytes(spark, path: str, fmt: str = "tiff", **options) -> DataFrame:
     for k, v in options.items():
         reader = reader.option(k, v)
 
+    shape_schema = pa.schema([("path", pa.string()), ("ifd_index", pa.int32()), *((n, pa.int64()) for n in ("rows", "cols", "bands")), ("dtype", pa.string()), ("bytes", pa.binary())])
+
     def gather(parts: pa.Table) -> pa.Table:
         rows = parts.to_pylist()
         top, left = min(r["row"] for r in rows), min(r["col"] for r in rows)
@@ -104,6 +106,6 @@ def window_bytes(spark, path: str, fmt: str = "tiff", **options) -> DataFrame:
         for r in rows:
             y, x, b = r["row"] - top, r["col"] - left, r["band"] - first
             out[y : y + r["rows"], x : x + r["cols"], b : b + r["bands"]] = np.frombuffer(r["samples"], r["dtype"]).reshape(r["rows"], r["cols"], r["bands"])
-        return pa.Table.from_pylist([{"path": rows[0]["path"], "ifd_index": rows[0]["ifd_index"], "rows": shape[0], "cols": shape[1], "bands": shape[2], "dtype": rows[0]["dtype"], "bytes": out.tobytes()}])
+        return pa.Table.from_pylist([{"path": rows[0]["path"], "ifd_index": rows[0]["ifd_index"], "rows": shape[0], "cols": shape[1], "bands": shape[2], "dtype": rows[0]["dtype"], "bytes": out.tobytes()}], schema=shape_schema)
 
     return reader.load(path).groupBy("path", "ifd_index").applyInArrow(gather, "path string, ifd_index int, rows long, cols long, bands long, dtype string, bytes binary")
