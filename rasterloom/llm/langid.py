@@ -46,6 +46,8 @@ class Model:
 def fit(rows: list, smoothing: float = 0.5) -> Model:
     """Multinomials of (doc_id, text, language) rows."""
     languages = sorted({r[2] for r in rows})
+    if not languages:
+        return Model([], np.zeros((BUCKETS, 0), np.float32))
     counts = np.zeros((BUCKETS, len(languages)))
     for k, language in enumerate(languages):
         words = [w for r in rows if r[2] == language for w in WORD.findall(r[1].lower())]

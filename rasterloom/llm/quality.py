@@ -118,7 +118,8 @@ def judged(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     """docs with one more column, a struct of the measures and verdicts, and that column's name."""
     name, weight = fresh("quality", docs), fresh("weights", docs)
     with_weights = docs.withColumn(weight, weights(docs, trusted).scalar())
-    measured = with_weights.withColumn(name, measures(F.col("text"), F.col(weight))).drop(weight)
+    # Through a generator, so that filters and fields of the struct don't each work it out again.
+    measured = with_weights.select(*docs.columns, F.explode_outer(F.array(measures(F.col("text"), F.col(weight)))).alias(name))
     m = F.col(name)
     failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
     return measured.withColumn(name, m.withField("base_failed", failed).withField("kept", ~failed & (m["ratio"] >= threshold))), name
