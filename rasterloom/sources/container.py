@@ -103,6 +103,7 @@ class Ifd:
     tags: dict[int, Tag]
     next: int = 0
     top_level: bool = True
+    _layout: Layout | None = field(default=None, repr=False, compare=False)
 
     def numbers(self, code: int, default: list | None = None) -> list:
         tag = self.tags.get(code)
@@ -176,6 +177,11 @@ class Ifd:
 
     def layout(self) -> Layout:
         """The normal layout, or an error that says why there is none."""
+        if self._layout is None:
+            self._layout = self._checked_layout()
+        return self._layout
+
+    def _checked_layout(self) -> Layout:
         if not self.width or not self.height:
             raise InvalidLayout(f"an image of {self.width} x {self.height}")
         if not self.spp:

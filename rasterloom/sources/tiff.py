@@ -14,6 +14,7 @@ the directories by the blocks' sizes and copies the parts' payloads in order.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -226,6 +227,7 @@ def _fields(ddl: str) -> list[str]:
     return [*out, ddl[start:].strip()]
 
 
+@functools.cache
 def arrow_schema(table: str) -> pa.Schema:
     return pa.schema([pa.field(n, _arrow_type(t)) for n, t in (f.split(" ", 1) for f in _fields(SCHEMAS[table]))])
 
@@ -246,8 +248,9 @@ def file_batches(path: str, tiff: container.Tiff, ask: Ask, ifd_offset: int | No
             blocks = [b for b in blocks if b.index in keep]
         if ask.table == "samples":
             for b, top, left, first, data in decoded_parts(tiff, ifd, blocks, window, ask):
-                row = {"path": path, "ifd_index": ifd.index, "block_index": b.index, "band": first, "row": top, "col": left, "rows": data.shape[0], "cols": data.shape[1], "bands": data.shape[2], "dtype": data.dtype.str[1:], "samples": data.tobytes()}
-                yield pa.RecordBatch.from_pylist([row], schema=arrow_schema("samples"))
+                row = [path, ifd.index, b.index, first, top, left, *data.shape, data.dtype.str[1:], data.tobytes()]
+                schema = arrow_schema("samples")
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
         elif ask.table == "blocks":
             for at in range(0, len(blocks), 64):
                 yield pa.RecordBatch.from_pylist(list(block_rows(path, tiff, ifd, blocks[at : at + 64], ask.payload)), schema=arrow_schema("blocks"))
