@@ -133,9 +133,11 @@ def query(rows: DataFrame, threshold: float = 0.9, recall: float = 0.97) -> Data
 
     spark = rows.sparkSession
     small_batches(spark, 4096)
-    one = rows.select("vec_id", F.col("embedding").cast("array<float>").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    kind = "double" if dict(rows.dtypes)["embedding"] == "array<double>" else "float"
+    number = np.dtype(np.float64 if kind == "double" else np.float32)
+    one = rows.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
     bad = F.expr("v is null or size(v) = 0 or exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) or forall(v, x -> x = 0)")
-    named = materialize(one.withColumn("v", F.when(bad | F.col("vec_id").isNull(), F.lit(None)).otherwise(F.expr("transform(v, x -> x + float(0))"))))
+    named = materialize(one.withColumn("v", F.when(bad | F.col("vec_id").isNull(), F.lit(None)).otherwise(F.expr(f"transform(v, x -> x + {kind}(0))"))))
     distinct = materialize(named.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")))
     plan = calibrate(threshold, distinct.count(), recall)
 
@@ -147,7 +149,7 @@ def query(rows: DataFrame, threshold: float = 0.9, recall: float = 0.97) -> Data
             sizes = np.diff(ends)
             for size in np.unique(sizes):
                 pick = np.flatnonzero(sizes == size)
-                raw = flat[ends[pick][:, None] + np.arange(size)].astype(np.float32)
+                raw = flat[ends[pick][:, None] + np.arange(size)].astype(number)
                 found = cells(units(raw), plan)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(pick)), batch.column(1).take(pa.array(pick)), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array([r.tobytes() for r in found], pa.binary()), pa.array(found.tolist(), pa.list_(pa.int64()))],
@@ -179,7 +181,7 @@ def query(rows: DataFrame, threshold: float = 0.9, recall: float = 0.97) -> Data
                     continue
                 rows = part.take(pa.array(pick))
                 ids, own, copies = (rows.column(k).to_numpy() for k in (5, 4, 6))
-                near = linked(units(np.frombuffer(b"".join(every[i] for i in pick), np.float32).reshape(len(pick), -1)), plan, threshold)
+                near = linked(units(np.frombuffer(b"".join(every[i] for i in pick), number).reshape(len(pick), -1)), plan, threshold)
                 if lo != hi:
                     near &= own[:, None] != own
                 if not near.any():
