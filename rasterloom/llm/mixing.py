@@ -16,7 +16,7 @@ source, text and then by chance: their slots are defined as a set. An empty tabl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import fresh, materialize, ranked
@@ -32,7 +32,7 @@ def targets(counts: DataFrame, period: int = PERIOD) -> DataFrame:
     """(source, weight): the square roots of the sources' document counts, in whole numbers that sum to about period."""
     roots = counts.select("source", F.sqrt(F.col("docs").cast("double")).alias("root"))
     total = roots.agg(F.round(F.sum("root"), 6).alias("all_roots"))
-    return roots.join(F.broadcast(total), F.col("root") <= F.col("all_roots") + 1).select("source", F.greatest(F.lit(1), F.floor(period * F.col("root") / F.col("all_roots"))).cast("long").alias("weight"))
+    return roots.withColumn("all_roots", total.scalar()).select("source", F.greatest(F.lit(1), F.floor(period * F.col("root") / F.col("all_roots"))).cast("long").alias("weight"))
 
 
 def pattern(weights: DataFrame) -> DataFrame:
@@ -53,8 +53,6 @@ def pattern(weights: DataFrame) -> DataFrame:
     start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("order"))
     played = sums.select("s", "d", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("d") - 1), start, choose, lambda a: a["order"]).alias("order"))
     slots = played.select("s", "d", F.posexplode("order").alias("slot", "i")).select(F.get(F.col("s"), F.col("i")).alias("x"), "d", "slot")
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("x.source").orderBy("slot")) - 1
     w = F.col("weight")
     return slots.select("x.source", "x.weight", "d", F.col("slot").cast("long").alias("slot"), nth.cast("long").alias("nth")).select(
