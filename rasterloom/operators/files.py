@@ -48,6 +48,36 @@ def encode_blocks(rows: DataFrame, spec: write.ImageSpec, order: str = "<", imag
     return grouped.mapInArrow(encode, "image int, block long, payload binary")
 
 
+def encode_tiles(tiles: DataFrame, spec: write.ImageSpec, order: str = "<", image: int = 0, pad: float = 0) -> DataFrame:
+    """(image, block, payload) of tiles (block, rows, cols, samples), one row each and in any order, without a shuffle.
+
+    A tile smaller than a block is padded; one that is larger, or beyond the grid, is an error.
+    """
+    h, w = spec.block
+    spp = spec.block_spp
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            payloads = []
+            for block, rows, cols, samples in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if not 0 <= block < spec.n_blocks or rows > h or cols > w or len(samples) != rows * cols * spp:
+                    raise write.WriteConfig(f"a tile of {rows} x {cols} with {len(samples)} samples as block {block} of {spec.n_blocks}")
+                full = np.full((h, w, spp), pad).astype(spec.sample)
+                full[:rows, :cols] = np.array(samples).reshape(rows, cols, spp).astype(spec.sample)
+                payloads.append(spec.encode(full, order))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, image, np.int32)), batch.column(0).cast(pa.int64()), pa.array(payloads, pa.binary())], names=["image", "block", "payload"])
+
+    return tiles.select("block", "rows", "cols", "samples").mapInArrow(encode, "image int, block long, payload binary")
+
+
+def write_tiles(tiles: DataFrame, path: str, spec: write.ImageSpec, fmt: str = "tiff", fill: float | None = None, byte_order: str = "little", variant: str = "auto") -> None:
+    """One file of tiles (block, rows, cols, samples); with a fill, tiles that never came hold it."""
+    tiff.register(tiles.sparkSession)
+    blocks = encode_tiles(tiles, spec, "<" if byte_order == "little" else ">", pad=fill or 0)
+    writer = blocks.write.format(fmt).mode("append").option("spec", tiff.spec_json([spec])).option("byteOrder", byte_order).option("variant", variant)
+    (writer.option("fill", fill) if fill is not None else writer).save(path)
+
+
 def overview_rows(rows: DataFrame, spec: write.ImageSpec, level: int, resampling: str = "nearest", nodata: str | None = None) -> DataFrame:
     """(row, samples) of an overview, band by band from the base."""
     limits = None if spec.sample.kind == "f" else (int(np.iinfo(spec.sample).min), int(np.iinfo(spec.sample).max))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.functions import codes
 from rasterloom.operators import files, raster
 from rasterloom.plans import tables
 from rasterloom.plans.tables import PX, WIDTH, q8, query, table
@@ -136,6 +137,37 @@ def streaming_tiles_final(spark, sf_dir):
     return ingest.final(spark, spark.range(64).select(F.col("id").alias("tile")), {"value": -1.0})
 
 
+@query(
+    f"""WITH t AS (SELECT event_id % {{n}} AS block, arg_max(CAST(floor(abs(value)) AS BIGINT) % 251, event_id) AS v FROM events WHERE event_id % {{n}} % 5 <> 3 GROUP BY 1)
+SELECT CAST(b // 4 * 16 + i // 16 AS BIGINT) AS row, CAST(b % 4 * 16 + i % 16 AS INT) AS col, CAST(CASE WHEN t.v IS NULL THEN 254 ELSE (t.v + i) % 251 END AS DOUBLE) AS value
+FROM range({{n}}) g(b) CROSS JOIN range(256) k(i) LEFT JOIN t ON t.block = b""".replace("{n}", "24")
+)
+def streaming_tiles_to_file(spark, sf_dir):
+    """Tiles of 16 x 16 that arrive by a stream, some more than once and some never, as one georeferenced file read back."""
+    folder = shared_folder(spark, "tiles")
+    table(spark, sf_dir, "events").select("event_id", "value").write.parquet(f"{folder}/arrivals")
+    arrivals = spark.readStream.schema("event_id long, value double").option("maxFilesPerTrigger", 8).parquet(f"{folder}/arrivals")
+    v = F.floor(F.abs("value")) % 251
+    tiles = arrivals.select((F.col("event_id") % 24).alias("block"), F.col("event_id").alias("seq"), F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: (v + i) % 251).alias("samples")).where("block % 5 <> 3")
+    ingest = TileIngest(folder, ["block"], ["seq"], ["samples"])
+    ingest.start(tiles).awaitTermination()
+    spec = write.ImageSpec(64, 96, compression=codecs.DEFLATE, tile=(16, 16), tags=write.geo_tags(keys_of_epsg(4326), (1, 1), (0, 0)))
+    files.write_tiles(ingest.final(spark).withColumn("rows", F.lit(16)).withColumn("cols", F.lit(16)), f"{folder}/out.tif", spec, "geotiff", fill=254)
+    return files.read_pixels(spark, f"{folder}/out.tif", "geotiff").select(F.col("row").cast("long").alias("row"), "col", "value")
+
+
+CODE_ROWS = ", ".join(f"('{k}', {n}, '{name}')" for k, t in codes.CODES.items() for n, name in t.items())
+
+
+@query(f"SELECT kind, code, name FROM (VALUES {CODE_ROWS}) t(kind, code, name) UNION ALL SELECT 'compression', 77, 'unknown-77'")
+def code_names(spark, sf_dir):
+    """Every code's name, and back."""
+    rows = spark.createDataFrame([(k, n) for k, t in codes.CODES.items() for n in t] + [("compression", 77)], "kind string, code int")
+    name = F.coalesce(*(F.when(F.col("kind") == k, codes.name_of(k, F.col("code"))) for k in codes.CODES))
+    back = F.coalesce(*(F.when(F.col("kind") == k, codes.code_of(k, F.col("name"))) for k in codes.CODES))
+    return rows.withColumn("name", name).where(F.coalesce(back == F.col("code"), F.col("name").startswith("unknown"))).select("kind", "code", "name")
+
+
 def _cases() -> dict:
     """What must fail, by name."""
     one = np.zeros((4, 4, 1), np.uint8)

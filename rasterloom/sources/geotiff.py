@@ -110,6 +110,21 @@ def keys_of_epsg(code: int, model: int | None = None) -> Keys:
     return {MODEL_TYPE: model, (PROJECTED_CRS if model == 1 else GEODETIC_CRS): code}
 
 
+def keys_of_crs(crs: Crs, keys: Keys | None = None) -> Keys:
+    """Keys with those of a coordinate reference system set; a side that it lacks is taken out whole."""
+    out = dict(keys or {})
+    if crs.kind in ("vertical", "unspecified"):
+        for k in (MODEL_TYPE, *HORIZONTAL):
+            out.pop(k, None)
+    if crs.kind in ("horizontal", "unspecified"):
+        for k in VERTICAL:
+            out.pop(k, None)
+    for k, v in ((MODEL_TYPE, crs.model or None), (RASTER_TYPE, crs.raster_type), (PROJECTED_CRS, crs.projected), (GEODETIC_CRS, crs.geodetic), (VERTICAL_CRS, crs.vertical), (CITATION, crs.citation)):
+        if v is not None:
+            out[k] = v
+    return out
+
+
 @dataclass(frozen=True)
 class Overview:
     ifd: c.Ifd

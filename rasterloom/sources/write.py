@@ -175,14 +175,17 @@ class Sizes:
     counts: list[int] = field(default_factory=list)
 
 
-def geo_tags(keys: Keys | None = None, scale: tuple[float, float] | None = None, origin: tuple[float, float] | None = None, matrix: list[float] | None = None, nodata: str | None = None) -> tuple:
+def geo_tags(keys: Keys | None = None, scale: tuple[float, float] | None = None, origin: tuple[float, float] | None = None, matrix: list[float] | None = None, nodata: str | None = None, tiepoint: tuple[float, ...] | None = None, skew: tuple[float, float] = (0.0, 0.0)) -> tuple:
     """The tags of a place on Earth: a matrix, or a pixel scale and the origin's tiepoint; keys only if there are any."""
     rows = []
+    if any(skew) and matrix is None and scale is not None:  # no pixel scale holds a skew
+        x, y = origin or (0.0, 0.0)
+        matrix = [scale[0], skew[0], 0, x, skew[1], -scale[1], 0, y, *[0.0] * 7, 1.0]
     if matrix is not None:
         rows.append((c.TRANSFORMATION, 12, [float(v) for v in matrix]))
     elif scale is not None:
         x, y = origin or (0.0, 0.0)
-        rows += [(c.PIXEL_SCALE, 12, [float(scale[0]), float(scale[1]), 0.0]), (c.TIEPOINT, 12, [0.0, 0.0, 0.0, float(x), float(y), 0.0])]
+        rows += [(c.PIXEL_SCALE, 12, [float(scale[0]), float(scale[1]), 0.0]), (c.TIEPOINT, 12, [float(v) for v in tiepoint] if tiepoint else [0.0, 0.0, 0.0, float(x), float(y), 0.0])]
     if keys:
         directory, doubles, text = serialize_keys(keys)
         rows.append((c.GEO_KEYS, 3, directory))
