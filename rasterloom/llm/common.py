@@ -57,7 +57,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def ranked(df: DataFrame, keys: list[str], hashed: str, ties: list[str], rank: str, rows: int, per_bucket: int = 4096) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], hashed: str, ties: list[str], rank: str, rows: int, per_bucket: int = 1024) -> DataFrame:
     """Adds rank, 0-based by (hashed, ties) among the rows of each key, without bringing a key together.
 
     hashed is a column of evenly spread 32-bit numbers. Its high bits cut a key into buckets of about per_bucket
@@ -82,8 +82,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """(node, component) for every node of an edge, component being the smallest node reachable.
 
     Alternates large-star and small-star steps: each step hangs the neighbours of a node under the smallest of
-    them, by a group-by with partial sums and an equi-join whose hot nodes Spark can split. Lineage is cut by
-    a reliable checkpoint each round; a round that changes nothing ends it.
+    them, by a group-by with partial results and an equi-join with what it gave. Both sides of a join are shuffled as
+    they are, so that Spark can split hot nodes. Lineage is cut by reliable checkpoints; a round that changes nothing
+    ends it.
     """
     now = materialize(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
 
@@ -95,9 +96,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large)
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(low.select("u", F.col("m").alias("v")).unionByName(moved).distinct())
         if (after := stamp(now)) == was:
