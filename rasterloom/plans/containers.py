@@ -40,7 +40,11 @@ def codec_roundtrip(spark, sf_dir, codec):
                 sizes.append(len(back))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests), pa.array(sizes, pa.int64())], names=["doc_id", "digest", "n_bytes"])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(there_and_back, "doc_id long, digest string, n_bytes long")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < cores:  # a few large files would keep most cores idle
+        texts = texts.repartition(cores)
+    return texts.mapInArrow(there_and_back, "doc_id long, digest string, n_bytes long")
 
 
 def _floats_through(spark: SparkSession, sf_dir: str, code) -> DataFrame:

@@ -3,10 +3,10 @@
     register(spark)
     spark.read.format("tiff").option("table", "pixels").option("window", "0,0,512,512").load("scenes/")
 
-Reading, a partition is a run of blocks of about `partitionBytes` decoded bytes, or some files where only metadata is
-asked for. The window, band and image come as options, or from filters on row, col, band and ifd where Spark pushes
-them down; blocks outside never leave the disk. Tables of many files are planned by file, without opening any on
-the driver.
+Reading, a partition is some small files, or a run of blocks of about `partitionBytes` decoded bytes of a file larger
+than that. The window, band and image come as options, or from filters on row, col, band and ifd where Spark pushes
+them down; blocks outside never leave the disk. Small files are never opened on the
+driver.
 
 Writing, rows are (image, block, payload). Each task appends its payloads to a part beside the file; the commit lays out
 the directories by the blocks' sizes and copies the parts' payloads in order.
@@ -47,7 +47,7 @@ SCHEMAS = {
     "samples": "path STRING, ifd_index INT, block_index INT, band INT, row INT, col INT, rows INT, cols INT, bands INT, dtype STRING, samples BINARY",
     "pixels": "path STRING, ifd_index INT, row INT, col INT, band INT, value DOUBLE",
 }
-#: Files up to which the driver opens them all to cut partitions within them.
+#: Large files up to which the driver opens them to cut partitions within them; more go whole, one to a partition.
 MOST_PLANNED = 256
 
 
@@ -267,14 +267,14 @@ def _whole(row: dict) -> dict:
     return row
 
 
-def listed(path: str) -> list[str]:
-    """The files of a path, a folder, a glob pattern, or a comma-separated list of these."""
+def listed(path: str) -> list[tuple[str, int | None]]:
+    """The files of a path, a folder, a glob pattern, or a comma-separated list of these, with their sizes if known."""
     from pyarrow import fs
 
     out = []
     for p in re.split(r",(?=[^,]*[/\w])", path):
         if re.match(r"https?://", p):
-            out.append(p)
+            out.append((p, None))
             continue
         scheme = re.match(r"[a-z0-9]+:/", p)
         where, inner = fs.FileSystem.from_uri(p) if scheme else (fs.LocalFileSystem(), os.path.abspath(p))
@@ -283,12 +283,13 @@ def listed(path: str) -> list[str]:
             import fnmatch
 
             root = re.split(r"[*?\[]", inner)[0].rpartition("/")[0] or "/"
-            names = [i.path for i in where.get_file_info(fs.FileSelector(root, recursive=True)) if i.type == fs.FileType.File and fnmatch.fnmatch(i.path, inner)]
-        elif where.get_file_info(inner).type == fs.FileType.Directory:
-            names = [i.path for i in where.get_file_info(fs.FileSelector(inner, recursive=True)) if i.type == fs.FileType.File and not os.path.basename(i.path).startswith((".", "_"))]
+            found = [i for i in where.get_file_info(fs.FileSelector(root, recursive=True)) if fnmatch.fnmatch(i.path, inner)]
+        elif (info := where.get_file_info(inner)).type == fs.FileType.Directory:
+            found = [i for i in where.get_file_info(fs.FileSelector(inner, recursive=True)) if not os.path.basename(i.path).startswith((".", "_"))]
         else:
-            names = [inner]
-        out += [prefix + n for n in sorted(names)]
+            out.append((p, info.size))
+            continue
+        out += sorted((prefix + i.path, i.size) for i in found if i.type == fs.FileType.File)
     return out
 
 
@@ -303,11 +304,23 @@ class TiffReader(DataSourceReader):
         if ask.window and 0 in ask.window[2:]:
             return []
         if ask.table == "images":
-            return [Part(files[k : k + self.files]) for k in range(0, len(files), self.files)]
-        if len(files) > MOST_PLANNED:
-            return [Part([f]) for f in files]
-        parts = []
-        for f in files:
+            return [Part([f for f, _ in files[k : k + self.files]]) for k in range(0, len(files), self.files)]
+        # Small files go whole, some to a partition; only large ones are opened here, to be cut at their blocks.
+        large = [f for f, size in files if size is None or size > self.bytes]
+        if len(large) > MOST_PLANNED:
+            large = []
+        parts, group, held = [], [], 0
+        for f, size in files:
+            if f in large:
+                continue
+            group.append(f)
+            held += size or 0
+            if held * 8 >= self.bytes:
+                parts.append(Part(group))
+                group, held = [], 0
+        if group:
+            parts.append(Part(group))
+        for f in large:
             tiff = container.Tiff(open_source(f, ask.chunk, ask.cache))
             for ifd in chosen(tiff, ask):
                 _, blocks = wanted(ifd, ask)

@@ -118,11 +118,13 @@ def test_files_of_bands(spark, rows, how, tmp_path):
 def test_pushed_filters_prune_blocks(spark, rows, tmp_path):
     spec = write.ImageSpec(60, 50, compression=codecs.DEFLATE, tile=(16, 16))
     files.write_file(rows, f"{tmp_path}/a.tif", spec)
-    reader = tiff.PushingTiffReader(f"{tmp_path}/a.tif", tiff.Ask.of({"table": "pixels"}), {})
+    reader = tiff.PushingTiffReader(f"{tmp_path}/a.tif", tiff.Ask.of({"table": "pixels"}), {"partitionBytes": "1024"})
     from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual
 
     assert len(list(reader.pushFilters([GreaterThanOrEqual(("row",), 33), EqualTo(("col",), 5)]))) == 2
     assert [b for p in reader.partitions() for b in p.blocks] == [8, 12]
+    whole = tiff.TiffReader(str(tmp_path), tiff.Ask.of({"table": "pixels"}), {})
+    assert [(len(p.paths), p.blocks) for p in whole.partitions()] == [(1, None)]
     blocks = spark.read.format("tiff").option("table", "blocks").option("payload", "false").option("window", "0,0,17,1").load(f"{tmp_path}/a.tif")
     assert sorted(r.block_index for r in blocks.collect()) == [0, 4]
     with pytest.raises(PySparkException):
