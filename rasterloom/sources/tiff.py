@@ -49,6 +49,8 @@ SCHEMAS = {
 }
 #: Large files up to which the driver opens them to cut partitions within them; more go whole, one to a partition.
 MOST_PLANNED = 256
+#: Decoded bytes of a batch of blocks.
+BATCH_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -247,10 +249,17 @@ def file_batches(path: str, tiff: container.Tiff, ask: Ask, ifd_offset: int | No
             keep = set(only)
             blocks = [b for b in blocks if b.index in keep]
         if ask.table == "samples":
+            schema = arrow_schema("samples")
+            made = lambda rows: pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            rows, held = [], 0
             for b, top, left, first, data in decoded_parts(tiff, ifd, blocks, window, ask):
-                row = [path, ifd.index, b.index, first, top, left, *data.shape, data.dtype.str[1:], data.tobytes()]
-                schema = arrow_schema("samples")
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+                rows.append((path, ifd.index, b.index, first, top, left, *data.shape, data.dtype.str[1:], data.tobytes()))
+                held += data.nbytes
+                if held >= BATCH_BYTES:
+                    yield made(rows)
+                    rows, held = [], 0
+            if rows:
+                yield made(rows)
         elif ask.table == "blocks":
             for at in range(0, len(blocks), 64):
                 yield pa.RecordBatch.from_pylist(list(block_rows(path, tiff, ifd, blocks[at : at + 64], ask.payload)), schema=arrow_schema("blocks"))
