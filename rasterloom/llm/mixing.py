@@ -63,12 +63,14 @@ def pattern(weights: DataFrame) -> DataFrame:
 def scheduled(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, str]:
     """docs with one more column, a struct (block, release, deadline, slot, place), and that column's name.
 
-    weights has (source, weight), whole numbers above 0; sources that it lacks take no slots, so it must name all.
+    weights has (source, weight), whole numbers above 0, for every source; one that it lacks is an error.
     """
     name, source, digest, rank = (fresh(n, docs) for n in ("mix", "mix_source", "mix_digest", "mix_rank"))
     named = docs.withColumn(source, F.coalesce("source", F.lit(""))).withColumn(digest, F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"))
     counts = materialize(named.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("docs")))
     rows = counts.agg(F.sum("docs")).first()[0] or 0
+    if weights is not None and (lost := counts.join(weights, "source", "left_anti").first()):
+        raise ValueError(f"no weight for the source {lost['source']!r}")
     plan = materialize(pattern(weights if weights is not None else targets(counts)))  # a period's slots, whatever the corpus
     order = ranked(named, [source], digest, ["doc_id", *(["text"] if "text" in docs.columns else [])], rank, rows)
     block = F.floor(F.col(rank) / block_docs)

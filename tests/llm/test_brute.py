@@ -213,6 +213,8 @@ def test_mixing_deviates_less_than_a_block(spark):
         for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
             assert abs(counts[s] - w * (slot + 1)) < 1
     assert len(out) == 4000 and len(slots) == 4000
+    with pytest.raises(ValueError):
+        mixing.scheduled(df, weights.where("source <> 'c'"))
     pos = {}
     for r in found.collect():
         pos.setdefault(r.source, []).append((r[name].block, r[name].place))
