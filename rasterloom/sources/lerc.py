@@ -1,7 +1,4 @@
-"""LERC2 blobs, by the published format: constant, one-sweep and bit-stuffed tiles, with masks, depths and bands.
-
-Huffman-coded blobs of 8-bit samples are not decoded and say so.
-"""
+"""LERC2 blobs, by the published format: constant, one-sweep, bit-stuffed and Huffman-coded, with masks, depths and bands."""
 
 from __future__ import annotations
 
@@ -90,6 +87,52 @@ def _unstuff(data: bytes, at: int, version: int) -> tuple[np.ndarray, int]:
     return take(n, bits, at)
 
 
+def _high_first(data: bytes, at: int) -> str:
+    """The bits of little-endian 32-bit words, each word's high bits first."""
+    words = np.frombuffer(data, "<u4", (len(data) - at) // 4, at).astype(">u4")
+    return "".join(map(str, np.unpackbits(words.view(np.uint8)).tolist()))
+
+
+def _huffman(data: bytes, at: int, version: int, valid: np.ndarray, depth: int, deltas: bool, offset: int) -> np.ndarray:
+    """[rows * cols, depth] of 8-bit samples by a code table; deltas are to the sample left, else above, else before."""
+    table_version, size, first, last = struct.unpack_from("<iiii", data, at)
+    if table_version < 2 or not 0 < size <= 1 << 15 or not first < last <= first + size:
+        raise DecodeFailed("a LERC2 code table that is none")
+    lengths, at = _unstuff(data, at + 16, version)
+    bits, here = _high_first(data, at), 0
+    symbols = {}
+    for k, n in enumerate(lengths.tolist()):
+        if n:
+            symbols[bits[here : here + n]] = (first + k) % size
+            here += n
+    at += 4 * -(-here // 32)
+    bits, here = _high_first(data, at), 0
+    widths = sorted({len(k) for k in symbols})
+
+    def symbol() -> int:
+        nonlocal here
+        for n in widths:
+            if (s := symbols.get(bits[here : here + n])) is not None and here + n <= len(bits):
+                here += n
+                return s
+        raise DecodeFailed("LERC2 data that no code begins")
+
+    rows, cols = valid.shape
+    out = np.zeros((rows, cols, depth), np.int64)
+    wrap = lambda v: (v + offset & 255) - offset
+    if not deltas:
+        for y, x in zip(*np.nonzero(valid), strict=True):
+            for d in range(depth):
+                out[y, x, d] = symbol() - offset
+        return out.reshape(-1, depth)
+    for d in range(depth):
+        before = 0
+        for y, x in zip(*np.nonzero(valid), strict=True):
+            base = before if x and valid[y, x - 1] or not (y and valid[y - 1, x]) else int(out[y - 1, x, d])
+            before = out[y, x, d] = wrap(symbol() - offset + base)
+    return out.reshape(-1, depth)
+
+
 def decode_blob(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     """([rows, cols, depth], valid [rows, cols], bytes used) of one blob."""
     if data[:6] != MAGIC:
@@ -146,7 +189,8 @@ def decode_blob(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
         mode = data[at]
         at += 1
         if mode:
-            raise UnsupportedCompression("a Huffman-coded LERC2 blob")
+            out[:] = _huffman(data, at, version, valid, depth, mode == 1, 128 if kind == 0 else 0).astype(dtype)
+            return done()
     cube = out.reshape(rows, cols, depth)
     for y in range(0, rows, micro):
         for x in range(0, cols, micro):

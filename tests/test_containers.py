@@ -112,6 +112,45 @@ def test_lerc_blobs():
         assert (t.read(t.ifds[0]) == steps).all() and t.ifds[0].lerc_parameters() == (2, additional)
 
 
+@pytest.mark.parametrize("name,deltas", [("u1", True), ("u1", False), ("i1", True), ("i1", False)])
+def test_lerc_huffman(name, deltas):
+    """Blobs whose codes are all 8 or 9 bits long, with a mask."""
+    rng = np.random.default_rng(1)
+    offset, kind = (128, 0) if name == "i1" else (0, 1)
+    image = rng.integers(-100, 100, (6, 7, 2)).astype("i1") if name == "i1" else rng.integers(0, 256, (6, 7, 2)).astype("u1")
+    valid = rng.random((6, 7)) < 0.8
+    lengths = [8] * 128 + [8] * 126 + [9] * 2 + [0] * 0
+    codes, code = {}, 0
+    for s, n in enumerate(lengths):
+        code <<= n - (lengths[s - 1] if s else n)
+        codes[s] = format(code, f"0{n}b")
+        code += 1
+    symbols = []
+    for d in range(2) if deltas else [None]:
+        before = 0
+        for y, x in zip(*np.nonzero(valid), strict=True):
+            if d is None:
+                symbols += [int(v) + offset for v in image[y, x]]
+                continue
+            base = before if x and valid[y, x - 1] or not (y and valid[y - 1, x]) else int(image[y - 1, x, d])
+            before = int(image[y, x, d])
+            symbols.append((before - base + offset) & 255)
+
+    def words(text):
+        text += "0" * (-len(text) % 32)
+        return b"".join(int(text[k : k + 32], 2).to_bytes(4, "little") for k in range(0, len(text), 32))
+
+    stuffed = np.packbits(np.array([[n >> k & 1 for k in range(4)] for n in lengths], np.uint8).ravel(), bitorder="little").tobytes()
+    table = struct.pack("<iiii", 4, 256, 0, 256) + bytes([1 << 6 | 4]) + struct.pack("<H", 256) + stuffed + words("".join(codes.values()))
+    bitset = np.packbits(valid.ravel()).tobytes()
+    mask = struct.pack("<h", len(bitset)) + bitset + struct.pack("<h", -32768)
+    lows, highs = image.reshape(-1, 2).min(axis=0).tobytes(), image.reshape(-1, 2).max(axis=0).tobytes()
+    body = mask + lows + highs + b"\0" + (b"\1" if deltas else b"\2") + table + words("".join(codes[s] for s in symbols)) + bytes(4)
+    tail = struct.pack("<iiiiiiiddd", 6, 7, 2, int(valid.sum()), 8, 70 + len(body), kind, 0.5, -128.0, 255.0) + struct.pack("<i", len(mask)) + body
+    blob = b"Lerc2 " + struct.pack("<iI", 4, lerc.fletcher32(tail)) + tail
+    assert (lerc.decode_block(blob, 0, 6, 7, 2, np.dtype(name)) == np.where(valid[:, :, None], image, 0)).all()
+
+
 def test_jpeg():
     y, x = np.mgrid[0:40, 0:56]
     image = (120 + 60 * np.sin(y / 9) + 50 * np.cos(x / 7)).astype(np.uint8)[:, :, None]
