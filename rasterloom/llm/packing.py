@@ -27,7 +27,7 @@ from rasterloom.llm.common import materialize, ranked, small_batches, tokenizer
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Words of Latin-1 texts as the tokenizer splits them, after lower-casing.
 LATIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµº\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-z0-9ªµº²³¹¼½¾\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
@@ -147,7 +147,7 @@ def _fill(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, room: int)
     return used
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = 400, eta: float = 4.0, step: float = 0.5, pool: int = 160) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def plan(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = 200, eta: float = 4.0, step: float = 0.5, pool: int = 64) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Runs (copies, lengths, times) that hold histogram[l] pieces of each length l exactly.
 
     rounds bounds the multiplicative-weights rounds, eta is the weights' rate, step the share of the scarcest
