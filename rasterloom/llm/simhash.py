@@ -203,6 +203,8 @@ def query(docs: DataFrame) -> DataFrame:
 
 #: Words of 64 bits in a wide fingerprint.
 WIDE = 8
+#: Ids of documents that go, up to which they are broadcast, 8 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 def wide_fingerprint(text: str | None, width: int = 5) -> tuple[bytes, bytes]:
@@ -314,8 +316,9 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The first document of each group of near-duplicates, with the columns it came with.
 
-    Only the ids of documents that go are joined with the documents. Rows that repeat a doc_id stay or go together
+    Only the ids of documents that go are joined with the documents, broadcast if they are counted and few. Rows that repeat a doc_id stay or go together
     unless equal texts under one id repeat, which stay; a null doc_id stays.
     """
     gone = materialize(near_classes(docs, width, similarity).where("doc_id != first").select(F.col("doc_id").alias(fresh("gone_id", docs))).distinct())
-    return docs.join(gone, docs["doc_id"] == gone[0], "left_anti")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone[0], "left_anti")
