@@ -7,6 +7,10 @@ rounded down, and what is left is filled by the same program, longest length fir
 plan is a list of runs (length, ranks, first sequence), as bounded as the histogram; executors look it up for each
 piece by its rank among the pieces of its length.
 
+`pack_in_order` keeps the order of its input as well: it cuts the pieces, in the order of the files and rows they came
+in, into runs of so many sequences' tokens, and packs each run by a program of its own, on the executors. Sequences of
+a run follow those of the runs before it, so that every prefix of whole runs holds a prefix of the input.
+
 Nulls count as empty texts: a document of no ids is its end token alone. A null doc_id is a document like others.
 Repeated rows are packed each on its own. An empty table gives no rows. Extra columns don't matter.
 """
@@ -19,13 +23,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import materialize, ranked, small_batches, tokenizer
 
 CAPACITY = 4096
 END_ID = 1
+#: Sequences' tokens in a run of `pack_in_order`: a share of all sequences, within these bounds.
+RUN_SHARE, LEAST_RUN, MOST_RUN = 1 / 32, 16, 256
 #: Distinct words whose ids a worker keeps.
 CACHE_WORDS = 800_000
 #: Words of Latin-1 texts as the tokenizer splits them, after lower-casing.
@@ -97,13 +104,17 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     return out
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: every document's ids and end token, cut at the capacity."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, more: str = "") -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: every document's ids and end token, cut at the capacity.
+
+    more names columns of docs, with their types, that each piece keeps.
+    """
     import pyarrow as pa
 
     path = path or default_tokenizer()
     end = np.array([END_ID], "<u4").tobytes()
     small_batches(docs.sparkSession)
+    kept = [c.split()[0] for c in more.split(",") if c]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,9 +129,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
                         took.append(i)
                         rows.append((k, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)])))
                 cols = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(took)), pa.array(cols[0].astype(np.int32)), *map(pa.array, cols[1:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                at = pa.array(took)
+                others = [batch.column(k).take(at) for k in range(2, 2 + len(kept))]
+                yield pa.RecordBatch.from_arrays([keys.take(at), pa.array(cols[0].astype(np.int32)), *map(pa.array, cols[1:]), *others], names=["doc_id", "piece", "start", "length", "ids_crc32", *kept])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text", *kept).mapInArrow(cut, ", ".join(["doc_id long, piece int, start long, length long, ids_crc32 long", *([more] if more else [])]))
 
 
 def _fill(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:
@@ -249,3 +262,44 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     placed = ranked(spread, ["length"], "_hash", ["doc_id", "piece"], "_rank", int(histogram.sum()))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return placed.select(*columns, "_rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and where a row stands: the file it was read from and its number there; of other tables, its partition's."""
+    try:
+        return docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return docs.select("doc_id", "text", F.lpad(F.spark_partition_id().cast("string"), 10, "0").alias("file"), F.monotonically_increasing_id().alias("row"))
+
+
+def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+    """What `pack` gives, with sequences in the order of docs, run by run."""
+    import pandas as pd
+
+    spark = docs.sparkSession
+    cut = materialize(pieces(in_order(docs), capacity, path, "file string, row long"))
+    files = sorted(cut.groupBy("file").agg(F.sum("length")).collect(), key=lambda f: (len(f[0]), f[0]))  # a row a file
+    before = np.cumsum([0, *(n for _, n in files)]).tolist()
+    tokens = capacity * int(min(MOST_RUN, max(LEAST_RUN, before[-1] / capacity * RUN_SHARE)))
+    starts = F.broadcast(spark.createDataFrame([(f, n) for (f, _), n in zip(files, before, strict=False)], "file string, first_token long"))
+    earlier = Window.partitionBy("file").orderBy("row", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("first_token") + F.coalesce(F.sum("length").over(earlier), F.lit(0))
+    dealt = cut.join(starts, "file").withColumn("at", at).withColumn("run", F.floor(F.col("at") / tokens)).drop("file", "row", "first_token")
+
+    def place(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("at", ignore_index=True)
+        length = f.length.to_numpy(np.int64)
+        rows = _lookup(plan(np.bincount(length, minlength=capacity + 1), capacity))
+        rank = f.groupby("length").cumcount().to_numpy(np.int64)
+        row = rows[np.searchsorted(rows[:, 0] << 48 | rows[:, 1], length << 48 | rank, side="right") - 1]
+        nth = rank - row[:, 1]
+        # Sequences by their first piece in the order of the input.
+        sequence, _ = pd.factorize(row[:, 2] + nth // row[:, 3])
+        return f.assign(sequence_id=sequence, offset=row[:, 4] + nth % row[:, 3] * length).drop(columns="at")
+
+    columns = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    placed = materialize(dealt.groupBy("run").applyInPandas(place, f"{columns}, run long, sequence_id long, offset long"))
+    runs = sorted(placed.groupBy("run").agg(F.max("sequence_id") + 1).collect())  # a row a run
+    firsts = np.cumsum([0, *(n for _, n in runs)]).tolist()
+    bases = F.broadcast(spark.createDataFrame([(k, n) for (k, _), n in zip(runs, firsts, strict=False)], "run long, base long"))
+    return placed.join(bases, "run").select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("sequence_id")).alias("sequence_id"), "offset")

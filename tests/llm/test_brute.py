@@ -396,3 +396,23 @@ def test_pipeline(spark, plain):
     tok = Tokenizer.from_file(packing.default_tokenizer())
     for i in first:
         assert sum(r.length for r in rows if r.doc_id == i) == len(tok.encode(texts[i], add_special_tokens=False).ids) + 1
+
+
+def test_sequences_follow_the_mixture(spark, tmp_path, monkeypatch):
+    """Sources keep their target shares over prefixes of sequence_id, which an unmixed table's sequences don't."""
+    monkeypatch.setattr(packing, "LEAST_RUN", 4)
+    rng = random.Random(6)
+    sizes = {"big": 1600, "mid": 400, "low": 400}  # weights 2 : 1 : 1
+    source = dict(enumerate(s for s, n in sizes.items() for _ in range(n)))
+    df = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(40, 400))), s) for i, s in source.items()], "doc_id long, text string, source string")
+    mixing.mixed(df).write.parquet(f"{tmp_path}/mixed")
+    df.repartition(2, "doc_id").write.parquet(f"{tmp_path}/plain")
+    far = {}
+    for name in ("mixed", "plain"):
+        rows = corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/{name}"), SF).collect()
+        assert sorted(r.doc_id for r in rows if r.piece == 0) == sorted(source)
+        last = max(r.sequence_id for r in rows)
+        assert {r.sequence_id for r in rows} == set(range(last + 1))
+        prefixes = [Counter(source[r.doc_id] for r in rows if r.sequence_id <= last * k // 20) for k in range(4, 10)]
+        far[name] = max(abs(c["big"] / c.total() - 0.5) for c in prefixes)
+    assert far["mixed"] < 0.05 < 0.1 < far["plain"]
