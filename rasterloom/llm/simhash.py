@@ -14,10 +14,13 @@ Nulls count as empty texts; texts of no words have fingerprint zero and are link
 kept with its fingerprint, and never names a component that has another doc_id. Repeated rows come back as often
 as they came. An empty table gives no rows. Extra columns don't matter.
 
-`one_of_each` links by a similarity of shingles rather than by a few bits. Five-word shingles of a Jaccard similarity of
-0.8 differ in about 15 % of the bits, too many for a guarantee, so it takes fingerprints of 512 bits, posts them under
-as many random combinations of positional bytes as the recall asks for, and links pairs whose differing bits estimate
-a similarity of 0.8 or more, within half a standard error. Texts of equal words are one, whatever their length.
+`one_of_each` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of such
+texts differ in up to about 15 % of the bits, too many for a guarantee, so it takes fingerprints of 512 bits and posts
+them under as many random combinations of positional bytes as make a pair at 0.8 itself meet with the recall asked
+for, whatever the number of texts. Bits only choose candidates; each link is verified on the shingles' 64-bit hashes.
+Postings pass on a spanning forest of what bits call near, and every further candidate pair that the forest does not
+connect. Where a link of the forest proves false, the pairs that it stood for are brought out and verified too.
+Texts of equal words are one, whatever their length.
 """
 
 from __future__ import annotations
@@ -203,25 +206,37 @@ def query(docs: DataFrame) -> DataFrame:
 
 #: Words of 64 bits in a wide fingerprint.
 WIDE = 8
+#: Positional bytes in a combination, and standard errors by which a candidate's bits may miss the similarity.
+COMBINED, MAY_ERRORS = 3, 4.0
 #: Ids of documents that go, up to which they are broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
 
-def wide_fingerprint(text: str | None, width: int = 5) -> tuple[bytes, bytes]:
-    """A digest of a whole text's words, and the 512-bit SimHash of its shingles."""
-    from xxhash import xxh64_digest, xxh128_digest
+def shingles(text: str | None, width: int = 5) -> tuple[bytes, np.ndarray]:
+    """A whole text's words with one blank between, and the sorted hashes of its distinct shingles."""
+    from xxhash import xxh64_digest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     line = b" ".join(words)
     if not words:
-        return xxh128_digest(line), bytes(8 * WIDE)
+        return line, np.zeros(0, np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
-    n = max(1, len(words) - width + 1)
-    first = [0, *ends[: n - 1].tolist()]
+    first = [0, *ends[: max(0, len(words) - width)].tolist()]
     last = (ends[width - 1 :] - 1).tolist() if len(words) >= width else [len(line)]
+    return line, np.unique(np.frombuffer(b"".join([xxh64_digest(line[a:b], SEED) for a, b in zip(first, last, strict=True)]), np.uint64))
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> tuple[bytes, bytes]:
+    """A digest of a whole text's words, and the 512-bit SimHash of its distinct shingles."""
+    from xxhash import xxh128_digest
+
+    line, hashes = shingles(text, width)
+    n = len(hashes)
+    if not n:
+        return xxh128_digest(line), bytes(8 * WIDE)
     ones = np.zeros(64 * WIDE, np.int64)
     for at in range(0, n, SHINGLES):
-        h = np.frombuffer(b"".join([xxh64_digest(line[a:b], SEED) for a, b in zip(first[at : at + SHINGLES], last[at : at + SHINGLES], strict=True)]), np.uint64)
+        h = hashes[at : at + SHINGLES]
         for k in range(WIDE):  # further bits come from the first by mixing
             mixed = (h ^ np.uint64((0x9E3779B97F4A7C15 * k) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(31)
@@ -240,30 +255,24 @@ def differing(similarity: float, errors: float = 0.5) -> int:
     return int(n * p + errors * math.sqrt(n * p * (1 - p)))
 
 
-def places(rows: int, similarity: float, recall: float = 0.95, slack: float = 0.05) -> list[tuple[int, ...]]:
-    """Random combinations of positional bytes: pairs of similarity + slack share one whole with probability recall."""
-    size = 3 if rows < 1 << 24 else 4
-    j = min(0.999, similarity + slack)
+def places(similarity: float, recall: float = 0.95) -> list[tuple[int, ...]]:
+    """Random combinations of positional bytes: pairs of that similarity share one whole with probability recall."""
+    j = min(0.999, similarity)
     same = (1 - math.acos(2 * j / (1 + j)) / math.pi) ** 8
-    n = math.ceil(math.log(1 - recall) / math.log(1 - same**size))
+    n = math.ceil(math.log(1 - recall) / math.log(1 - same**COMBINED))
     g = np.random.default_rng(SEED)
-    return [tuple(sorted(g.choice(8 * WIDE, size, replace=False).tolist())) for _ in range(n)]
+    return [tuple(sorted(g.choice(8 * WIDE, COMBINED, replace=False).tolist())) for _ in range(n)]
 
 
-def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, first): each document's smallest doc_id of those that its links reach, itself included."""
-    import pyarrow as pa
+def candidates(nodes: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """Pairs (a, b, sure) of (node, wide, claim, settled) that share a combination and whose bits may mean the similarity.
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [wide_fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], pa.binary()) for k in (0, 1))], names=["doc_id", "digest", "wide"])
+    forest: of pairs whose bits say that they are near (sure) a spanning forest of each group, and of others those that it
+    does not connect. Else all pairs of one claim and of two settled classes.
+    """
+    import pyarrow as pa
 
-    small_batches(docs.sparkSession)
-    named = docs.select("doc_id", "text").where("doc_id is not null")
-    marks = materialize(named.mapInArrow(mark, "doc_id long, digest binary, wide binary"))
-    nodes = materialize(marks.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide")))
-    combos, most = places(nodes.count(), similarity), differing(similarity)
+    combos, most, may = places(similarity), differing(similarity, 0.0), differing(similarity, MAY_ERRORS)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +286,7 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
                     key = key << 8 | wide[:, p]
                 yield pa.RecordBatch.from_arrays([node, pa.array(key)], names=["node", "key"])
 
-    small_batches(docs.sparkSession, 20_000)
+    small_batches(nodes.sparkSession, 20_000)
     posts = nodes.select("node", "wide").mapInArrow(post, "node long, key long")
     sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.greatest(F.least(F.ceil(F.col("n") / BLOCK), F.lit(SPREAD)), F.ceil(F.col("n") / LARGEST)).cast("int")
@@ -287,7 +296,7 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.expr("case when parts = 1 then array(0) else filter(sequence(0, parts - 1), x -> x != own) end")))
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node")
-        .join(nodes.select("node", "wide"), "node")
+        .join(nodes.select("node", "wide", "claim", "settled"), "node")
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,20 +304,97 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
             group = pa.Table.from_batches(part).combine_chunks()
             ids = group.column(3).to_numpy()
             wide = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint64).reshape(len(ids), -1)
+            claim, settled = group.column(5).to_numpy(), group.column(6).to_numpy()
+
+            def pairs(i: np.ndarray, j: np.ndarray, sure: bool) -> pa.RecordBatch:
+                a, b = ids[i], ids[j]
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), sure))], names=["a", "b", "sure"])
+
             left = np.arange(len(ids))
-            while len(left) > 1:  # a spanning forest of the group's links
+            while len(left) > 1:
                 todo, left = [int(left[0])], left[1:]
+                others: list[tuple[int, np.ndarray]] = []
                 while todo and len(left):
                     i = todo.pop()
-                    hit = np.bitwise_count(wide[left] ^ wide[i]).sum(axis=1, dtype=np.int64) <= most
+                    bits = np.bitwise_count(wide[left] ^ wide[i]).sum(axis=1, dtype=np.int64)
+                    if not forest:
+                        ok = (bits <= may) & (claim[left] == claim[i]) & (settled[left] != settled[i])
+                        if ok.any():
+                            yield pairs(np.full(ok.sum(), i), left[ok], False)
+                        continue
+                    hit = bits <= most
+                    if (far := (bits <= may) & ~hit).any():
+                        others.append((i, left[far]))
                     if hit.any():
                         found, left = left[hit], left[~hit]
                         todo.extend(found.tolist())
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ids[i])), pa.array(ids[found])], names=["a", "b"])
+                        yield pairs(np.full(len(found), i), found, True)
+                for i, far in others:  # but those that the tree has come to take in
+                    if len(far := far[np.isin(far, left)]):
+                        yield pairs(np.full(len(far), i), far, False)
 
     group = ["key", "lo", "hi"]
-    near = dealt.select(*group, "node", "wide").repartition(*group).sortWithinPartitions(*group).mapInArrow(search, "a long, b long").distinct()
-    members = components(near)
+    near = dealt.select(*group, "node", "wide", "claim", "settled").repartition(*group).sortWithinPartitions(*group).mapInArrow(search, "a long, b long, sure boolean")
+    return materialize(near.where("a <> b").groupBy("a", "b").agg(F.max("sure").alias("sure")))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) whose shingles have that Jaccard similarity or more; texts: (node, text)."""
+    import pyarrow as pa
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), width)[1].tobytes() for t in part.column(1)], pa.binary())], names=["node", "hashes"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = 0
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    spark = pairs.sparkSession
+    small_batches(spark, 256)
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    held = materialize(texts.join(asked, "node").dropDuplicates(["node", "digest"]).select("node", "text").mapInArrow(hashed, "node long, hashes binary"))
+    one = pairs.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    two = one.join(held.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    found = materialize(two.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+    return found.distinct()
+
+
+def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, first): each document's smallest doc_id of those that its links reach, itself included."""
+    import pyarrow as pa
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(t.as_py(), width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], pa.binary()) for k in (0, 1))], names=["doc_id", "digest", "wide"])
+
+    small_batches(docs.sparkSession)
+    named = docs.select("doc_id", "text").where("doc_id is not null")
+    marks = materialize(named.mapInArrow(mark, "doc_id long, digest binary, wide binary"))
+    nodes = materialize(marks.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide")))
+    texts = named.select(F.col("doc_id").alias("node"), "text", F.xxhash64("text").alias("digest"))
+    none = F.lit(0).cast("long")
+    pairs = candidates(nodes.select("node", "wide", none.alias("claim"), none.alias("settled")), similarity, True)
+    edges = verified(pairs, texts, similarity, width)
+    if not pairs.where("sure").join(edges, ["a", "b"], "left_anti").isEmpty():
+        # Trees that false links held together: what they claimed to connect, beside what verified links do.
+        claims = materialize(components(pairs.where("sure"))).withColumnRenamed("component", "claim")
+        settled = materialize(components(edges)).withColumnRenamed("component", "settled")
+        beside = materialize(claims.join(settled, "node", "left").withColumn("settled", F.coalesce("settled", "node")))
+        torn = beside.groupBy("claim").agg(F.min("settled").alias("lo"), F.max("settled").alias("hi")).where("lo < hi").select("claim")
+        again = materialize(nodes.select("node", "wide").join(beside.join(torn, "claim"), "node"))
+        edges = edges.union(verified(candidates(again, similarity, False), texts, similarity, width))
+    members = components(edges)
     firsts = nodes.join(members, "node", "left").select("digest", F.coalesce("component", "node").alias("first"))
     return marks.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "first")
 

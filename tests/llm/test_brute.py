@@ -416,3 +416,36 @@ def test_sequences_follow_the_mixture(spark, tmp_path, monkeypatch):
         prefixes = [Counter(source[r.doc_id] for r in rows if r.sequence_id <= last * k // 20) for k in range(4, 10)]
         far[name] = max(abs(c["big"] / c.total() - 0.5) for c in prefixes)
     assert far["mixed"] < 0.05 < 0.1 < far["plain"]
+
+
+def test_near_duplicates_against_exact_jaccard(spark):
+    """Pairs of known similarity: no link below 0.8, and those above found, whatever bits estimate."""
+    rng = random.Random(9)
+    texts, want = {}, {}
+    for k in range(400):
+        base = [f"t{rng.randrange(10**6)}" for _ in range(304)]
+        n = round(300 * (1 - (j := 0.7 + 0.2 * k / 400)) / (1 + j))  # the last n shingles differ
+        near = base[: 304 - n] + [f"u{rng.randrange(10**6)}" for _ in range(n)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(near)
+        a, b = ({tuple(w[i : i + 5]) for i in range(300)} for w in (base, near))
+        want[k] = len(a & b) / len(a | b)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r["first"] for r in simhash.near_classes(df).collect()}
+    linked = {k for k in want if found[2 * k + 1] == 2 * k}
+    assert {found[2 * k] for k in want} == {2 * k for k in want}
+    assert all(want[k] >= 0.8 for k in linked)
+    for lo, hi, least in ((0.8, 0.82, 0.9), (0.82, 0.9, 0.96)):
+        inside = [k for k in want if lo <= want[k] < hi]
+        assert sum(k in linked for k in inside) >= least * len(inside)
+
+
+def test_near_duplicates_behind_a_false_link(spark, monkeypatch):
+    """A tree of links that bits claim hides none that shingles confirm."""
+    rng = random.Random(10)
+    base = [f"t{rng.randrange(10**6)}" for _ in range(304)]
+    new = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [base, base[:262] + new(42)]  # similarity 0.75 of the first two
+    texts += [texts[1][:300] + new(4), new(2) + texts[1][2:]]
+    monkeypatch.setattr(simhash, "differing", lambda similarity, errors=0.5: 200)  # bits call all of them near
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r["first"] for r in simhash.near_classes(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 1}
