@@ -3,7 +3,7 @@
 Beside the patterns, a small lexer reads source and configuration syntax: names, quoted literals, bare values and
 assignment signs. It keeps each name's literals in the order of the text, follows names and concatenations to them
 (constant propagation), and scores each literal that reaches a sensitive name by the name and by the literal's look.
-Only texts that hold both a sensitive word and an assignment sign are lexed; in others no name can score.
+Every text that holds an assignment sign is lexed: names are scored by joined parts, which no list of words covers.
 
 Nulls count as empty texts. Repeated rows come back as often as they came; an empty table gives no rows; extra
 columns don't matter. Offsets are code points, ends exclusive.
@@ -33,7 +33,6 @@ SENSITIVE = {
     "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "auth": 0.5, "key": 0.4, "private": 0.4, "access": 0.2, "api": 0.4, "signature": 0.3, "pass": 0.6,
 }
 PLACEHOLDER = re.compile(r"(?i)(?:your|my|changeme|example|placeholder|dummy|xxx+|\*+|<.*>|\$\{.*\}|none|null|true|false|todo|test)[\w-]*\Z")
-WORD_SEEN = re.compile(r"(?i)passw|passphrase|pwd|secret|token|api_?key|credential|private_?key|access_?key|auth")
 LEX = re.compile(
     r"""(?P<comment>(?<![:\w])(?:\#|//)[^\n]*)"""
     r"""|(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
@@ -113,7 +112,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     order = {"assign": 0, "access": 1, "hex": 2, "pair": 3}
     base.sort(key=lambda s: (s[0], order[s[2]]))
     more = set()
-    if ("=" in text or ":" in text) and WORD_SEEN.search(text):
+    if "=" in text or ":" in text:
         for name, (a, b, literal) in pairs(text):
             if (n := name_score(name)) > 0.5 and (v := literal_score(literal)) > 0 and n + v >= THRESHOLD + 0.5:
                 more.add((a, b, "pair"))

@@ -257,6 +257,14 @@ def test_secret_assignments():
         assert not any(k == "pair" for *_, k in secret_scan.scan(text)[1])
 
 
+def test_secret_names_need_no_cue_word():
+    """A name that scores is found whatever else the text holds: as in the pairs of an ungated scan."""
+    literal = "9fQ27bC1d8Zk4LmN"
+    for text in (f"x-api-key: {literal}", f"private-key = '{literal}'", f"DB_PASS = '{literal}'", f"access.key = '{literal}'", f"sec_ret = '{literal}'"):
+        for around in (text, text + "\nauthor"):
+            assert [around[a:b] for a, b, k in secret_scan.scan(around)[1] if k == "pair"] == [literal], around
+
+
 def fold(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
