@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but these bytes; in Java and DuckDB regular expressions.
 SPACE = r"\x20\x09-\x0D"
-#: Rows of an Arrow batch, so that a batch of long texts fits beside a worker's models.
-BATCH_ROWS = 1024
+#: Bytes of an Arrow batch, so that a batch of long texts fits beside a worker's models; the same for every operator.
+BATCH_BYTES = 8 << 20
+#: A key of more rows than this is joined by a broadcast of such keys: at most a share of 1 / HOT_ROWS of all rows.
+HOT_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, where the session names no bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -122,23 +127,97 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def join_counted(rows: DataFrame, named: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with named, one row a key, whose column count has the key's rows there; hot keys stay where they lie."""
+    hot = F.broadcast(named.where(F.col(count) > HOT_ROWS).drop(count))
+    rest = named.where(F.col(count) <= HOT_ROWS).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
+def in_blocks(posts: DataFrame, keys: list[str], member: str, block: int, spread: int, largest: int, weight: str | None = None, heaviest: int = 1 << 20) -> DataFrame:
+    """posts of keys that have more than one, with (lo, hi): the group in which a row meets others of its key.
+
+    A key of at most `block` rows is one group. Of a larger one, rows are cut by the hash of member into blocks, of the
+    first size up to `spread` blocks, then into `spread` larger ones, up to `largest`; with weight, also so that a
+    block's weights sum to about `heaviest`. Each pair of blocks is a group, so that all pairs of rows meet.
+    """
+    sums = [F.count(F.lit(1)).alias("n"), *([F.sum(weight).alias("mass")] if weight else [])]
+    sizes = posts.groupBy(*keys).agg(*sums).where("n > 1")
+    parts = F.greatest(F.least(F.ceil(F.col("n") / block), F.lit(spread)), F.ceil(F.col("n") / largest), *([F.ceil(F.col("mass") / heaviest)] if weight else []))
+    others = F.expr("case when parts = 1 then array(0) else filter(sequence(0, parts - 1), x -> x != own) end")
+    cut = posts.join(sizes.withColumn("parts", F.least("n", parts).cast("int")).select(*keys, "parts"), keys)
+    met = cut.withColumn("own", F.pmod(F.xxhash64(member), F.col("parts")).cast("int")).withColumn("other", F.explode(others))
+    return met.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("parts", "other")
+
+
 def whole_groups(batches, keys: int):
-    """Lists of batches, each the rows of one group, from batches sorted by their first `keys` whole-number columns."""
+    """(rows, starts): tables of whole groups and where each group starts, of batches sorted by their first `keys` whole-number columns."""
     import numpy as np
+    import pyarrow as pa
+
+    def cuts(cols: np.ndarray) -> np.ndarray:
+        return np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(axis=0)) + 1
+
+    def named(rows) -> np.ndarray:
+        return np.stack([rows.column(i).to_numpy().astype(np.int64) for i in range(keys)])
+
+    def out(parts: list):
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        return rows, np.r_[0, cuts(named(rows))]
 
     held: list = []
     name = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(keys)])
-        cuts = [0, *(np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            now = tuple(cols[:, a].tolist())
-            if held and now != name:
-                yield held
-                held = []
-            held.append(batch.slice(a, b - a))
-            name = now
+        cols = named(batch)
+        inner = cuts(cols)
+        if held and not len(inner) and (cols[:, 0] == name).all():
+            held.append(batch)
+            continue
+        last = int(inner[-1]) if len(inner) else 0
+        if held or last:
+            yield out([*held, *([batch.slice(0, last)] if last else [])])
+        held, name = [batch.slice(last)], cols[:, -1]
     if held:
-        yield held
+        yield out(held)
+
+
+def fixed_bytes(column):
+    """The rows of a column of equally long byte strings, as an array of bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = len(column)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(n, -1)
+
+
+def spanning_links(starts, n: int, near):
+    """(i, j) arrays that connect what the near pairs of each group connect; near takes two arrays of row numbers.
+
+    Small groups compare all pairs at once; of larger ones each row meets those that no link has yet reached.
+    """
+    import numpy as np
+
+    ends = np.r_[starts[1:], n]
+    wide = ends - starts
+    of = np.repeat(np.arange(len(starts)), wide)
+    small = wide[of] <= 16
+    for d in range(1, int(min(wide.max(initial=0), 16))):
+        i = np.flatnonzero((of[d:] == of[:-d]) & small[d:])
+        ok = near(i, i + d)
+        yield i[ok], i[ok] + d
+    for a, b in zip(starts[wide > 16].tolist(), ends[wide > 16].tolist(), strict=True):
+        left = np.arange(a, b)
+        while len(left) > 1:
+            todo, left = [int(left[0])], left[1:]
+            while todo and len(left):
+                i = todo.pop()
+                hit = near(np.full(len(left), i), left)
+                if hit.any():
+                    found, left = left[hit], left[~hit]
+                    yield np.full(len(found), i), found
+                    todo.extend(found.tolist())

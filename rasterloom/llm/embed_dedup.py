@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import components, materialize, small_batches, whole_groups
+from rasterloom.llm.common import bounded_batches, components, materialize, whole_groups
 
 #: Cells are cut into blocks of the first size up to SPREAD blocks, then into SPREAD larger ones, up to the second.
 BLOCK, SPREAD, LARGEST = 256, 16, 2048
@@ -132,7 +132,7 @@ def query(rows: DataFrame, threshold: float = 0.9, recall: float = 0.97) -> Data
     import pyarrow as pa
 
     spark = rows.sparkSession
-    small_batches(spark, 4096)
+    bounded_batches(spark)
     kind = "double" if dict(rows.dtypes)["embedding"] == "array<double>" else "float"
     number = np.dtype(np.float64 if kind == "double" else np.float32)
     one = rows.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import held_out, small_batches
+from rasterloom.llm.common import bounded_batches, held_out
 from rasterloom.llm.ngrams import Vocabulary, hashed, sample, word_sums
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -143,6 +143,6 @@ def query(docs: DataFrame, per_language: int = 1500, most_chars: int = 20_000) -
                     names=["doc_id", "held_out", "lang_pred", "score", "mixture"],
                 )
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, mixture string")

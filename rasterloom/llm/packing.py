@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import materialize, ranked, small_batches, tokenizer
+from rasterloom.llm.common import bounded_batches, materialize, ranked, tokenizer
 
 CAPACITY = 4096
 END_ID = 1
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, m
 
     path = path or default_tokenizer()
     end = np.array([END_ID], "<u4").tobytes()
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kept = [c.split()[0] for c in more.split(",") if c]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
             yield f.assign(sequence_id=at[:, 2] + nth // at[:, 3], offset=at[:, 4] + nth % at[:, 3] * length)
 
     spread = cut.withColumn("_hash", F.xxhash64("doc_id", "piece").bitwiseAND(0xFFFFFFFF))
-    small_batches(spark, 20_000)
+    bounded_batches(spark)
     placed = ranked(spread, ["length"], "_hash", ["doc_id", "piece"], "_rank", int(histogram.sum()))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return placed.select(*columns, "_rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

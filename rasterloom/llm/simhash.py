@@ -15,12 +15,13 @@ kept with its fingerprint, and never names a component that has another doc_id.
 as they came. An empty table gives no rows. Extra columns don't matter.
 
 `one_of_each` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of such
-texts differ in up to about 15 % of the bits, too many for a guarantee, so it takes fingerprints of 512 bits and posts
-them under as many random combinations of positional bytes as make a pair at 0.8 itself meet with the recall asked
-for, whatever the number of texts. Bits only choose candidates; each link is verified on the shingles' 64-bit hashes.
-Postings pass on a spanning forest of what bits call near, and every further candidate pair that the forest does not
-connect. Where a link of the forest proves false, the pairs that it stood for are brought out and verified too.
-Texts of equal words are one, whatever their length.
+texts differ in up to about 15 % of the bits, too many for a guarantee, so it takes fingerprints of 64 positional bytes.
+Each text is posted under those combinations of them whose bits are the least likely to change, so many that a pair at
+0.8 itself meets with a probability of 0.95 or more. Pairs of a posting tally their shared positional bytes, and those
+below what 0.8 all but guarantees (three standard errors) go, as do those of too many bits. What is left connects
+texts into claims; each claim's shingles come together once and links are decided on them alone. Texts of equal words
+are one, whatever their length. Very long texts are read whole; a claim's blocks are bounded by shingles as well as
+texts.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import components, fresh, materialize, small_batches, whole_groups
+from rasterloom.llm.common import bounded_batches, components, fixed_bytes, fresh, in_blocks, join_counted, materialize, spanning_links, whole_groups
 
 SEED = 42
 #: Rows of a block: postings are cut into blocks of the first size up to SPREAD blocks, then into SPREAD larger ones, up to the second.
@@ -72,7 +73,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             marks = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], names=["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(mark, "doc_id long, fp long")
 
 
@@ -96,23 +97,8 @@ def _near(fp: np.ndarray, others: np.ndarray, bits: int) -> np.ndarray:
     return ok
 
 
-def forest(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links (index arrays) that connect what the near pairs of one group connect, one fewer than each component's size."""
-    left, out = np.arange(len(fps)), []
-    while len(left) > 1:
-        todo, left = [int(left[0])], left[1:]
-        while todo and len(left):
-            i = todo.pop()
-            hit = _near(np.full(len(left), fps[i]), fps[left], bits)
-            if hit.any():
-                found, left = left[hit], left[~hit]
-                out.append((np.full(len(found), i), found))
-                todo.extend(found.tolist())
-    return out
-
-
 def links(fps: DataFrame, bits: int, rows: int, block: int = BLOCK, spread: int = SPREAD, largest: int = LARGEST) -> DataFrame:
-    """Links (a, b) between distinct fingerprints; what they connect is what all pairs within `bits` connect."""
+    """Links (a, b) between the nodes of distinct fingerprints (fp, node); what they connect is what all pairs within `bits` connect."""
     import pyarrow as pa
 
     agree = 8 - bits
@@ -125,79 +111,32 @@ def links(fps: DataFrame, bits: int, rows: int, block: int = BLOCK, spread: int
         mask = sum(0xFF << (8 * p) for p in places)
         mask -= (mask >> 63) << 64
         keys.append(F.struct(F.lit(k).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")))
-    posts = fps.select("fp", F.explode(F.array(*keys)).alias("p")).select("p.k", "p.key", "fp")
-    sizes = posts.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cut = posts.join(sizes, ["k", "key"]).withColumn(
-        "parts", F.greatest(F.least(F.ceil(F.col("n") / block), F.lit(spread)), F.ceil(F.col("n") / largest)).cast("int")
-    )
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    # A posting of one block is one group; of more, each block meets each other block, and itself in those.
-    pairs = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, parts - 1), x -> x != own)"))
-    dealt = (
-        cut.withColumn("own", own)
-        .withColumn("other", F.explode(pairs))
-        .select("k", "key", F.least("own", "other").alias("lo"), F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.greatest("own", "other")).alias("hi"), "fp")
-    )
+    posts = fps.select("fp", "node", F.explode(F.array(*keys)).alias("p")).select("p.k", "p.key", "fp", "node")
     group = ["k", "key", "lo", "hi"]
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the group that the last batch ended in
-        name = None
-
-        def flush(cols: list[np.ndarray]):
-            """Links of whole groups, which lie one after another."""
-            ids, fp = cols
-            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            ends = np.r_[starts[1:], len(ids)]
-            wide = ends - starts
-            found = []
-            for d in range(1, int(min(wide.max(), 16))):  # small groups: all at once, pairs d apart
-                i = np.flatnonzero(ids[d:] == ids[:-d])
-                i = i[np.repeat(wide, wide)[i] <= 16]
-                ok = _near(fp[i], fp[i + d], bits)
-                found.append((fp[i[ok]], fp[i[ok] + d]))
-            for a, b in zip(starts[wide > 16], ends[wide > 16], strict=True):
-                found += [(fp[a + i], fp[a + j]) for i, j in forest(fp[a:b].view(np.uint64), bits)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found])) for k in (0, 1)], names=["a", "b"])
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(batches, 4):
+            fp, node = (rows.column(k).to_numpy() for k in (4, 5))
+            for i, j in spanning_links(starts, len(fp), lambda i, j, fp=fp: _near(fp[i], fp[j], bits)):
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
-            same = np.r_[False, (part[:4, 1:] == part[:4, :-1]).all(axis=0)]
-            lead = 0
-            if name is not None:
-                same[0] = bool((part[:4, 0] == name).all())
-                lead = int(np.argmin(same)) if not same.all() else len(same)
-                held.append(part[4, :lead])
-            if lead < len(same):
-                if held:
-                    fp = np.concatenate(held)
-                    yield from flush([np.zeros(len(fp), np.int64), fp])
-                ids, rest = np.cumsum(~same[lead:]), part[:, lead:]
-                tail = int(np.searchsorted(ids, ids[-1]))
-                if tail:
-                    yield from flush([ids[:tail], rest[4, :tail]])
-                held, name = [rest[4, tail:]], rest[:4, -1]
-        if held:
-            fp = np.concatenate(held)
-            yield from flush([np.zeros(len(fp), np.int64), fp])
-
-    small_batches(fps.sparkSession, 20_000)
-    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(join, "a long, b long").distinct()
+    bounded_batches(fps.sparkSession)
+    dealt = in_blocks(posts, ["k", "key"], "fp", block, spread, largest).select(*group, "fp", "node")
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(search, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, width: int = 4, bits: int = 4, block: int = BLOCK) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable by links of at most `bits` differing bits)."""
     marked = materialize(fingerprints(docs, width))
-    firsts = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    near = links(firsts.select("fp"), bits, firsts.count(), block)
-    members = components(near)  # by fingerprint; its smallest doc_id comes after
-    of = firsts.join(members, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = of.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = of.join(least, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    firsts = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
+    rows, last = firsts.agg(F.count(F.lit(1)), F.max("first")).first()
+    last = -1 if last is None else last
+    # A fingerprint is named by its smallest doc_id, so components need no second look-up; without any, by a number beyond all.
+    named = materialize(firsts.withColumn("node", F.coalesce("first", F.lit(last + 1) + F.monotonically_increasing_id())))
+    members = components(links(named.select("fp", "node"), bits, rows, block))
+    least = F.coalesce("component", "node")
+    of = named.join(members, "node", "left").select("fp", "copies", F.when(least <= last, least).alias("component_id"))
+    return join_counted(marked, of, "fp", "copies").select("doc_id", "fp", "component_id")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -206,9 +145,13 @@ def query(docs: DataFrame) -> DataFrame:
 
 #: Words of 64 bits in a wide fingerprint.
 WIDE = 8
-#: Positional bytes in a combination, and standard errors by which a candidate's bits may miss the similarity.
-COMBINED, MAY_ERRORS = 3, 4.0
-#: Ids of documents that go, up to which they are broadcast, 8 bytes each; more are joined by a shuffle.
+#: Standard errors by which a candidate's bits and tally may miss what its similarity leads to expect.
+MAY_ERRORS = 3.0
+#: Candidates by chance that a text may have, from which on combinations are longer.
+BY_CHANCE = 1000
+#: Combinations of so many positional bytes: how many there are, and under how many of these a text is posted.
+POSTED = {2: (300, 60), 3: (600, 270)}
+#: Ids of documents, up to which they are broadcast, 32 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
 
@@ -226,14 +169,11 @@ def shingles(text: str | None, width: int = 5) -> tuple[bytes, np.ndarray]:
     return line, np.unique(np.frombuffer(b"".join([xxh64_digest(line[a:b], SEED) for a, b in zip(first, last, strict=True)]), np.uint64))
 
 
-def wide_fingerprint(text: str | None, width: int = 5) -> tuple[bytes, bytes]:
-    """A digest of a whole text's words, and the 512-bit SimHash of its distinct shingles."""
-    from xxhash import xxh128_digest
-
-    line, hashes = shingles(text, width)
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The 512-bit SimHash of distinct shingles' hashes, as 64 positional bytes, and 64 bytes of how steadfast each is."""
     n = len(hashes)
     if not n:
-        return xxh128_digest(line), bytes(8 * WIDE)
+        return np.zeros(16 * WIDE, np.uint8)
     ones = np.zeros(64 * WIDE, np.int64)
     for at in range(0, n, SHINGLES):
         h = hashes[at : at + SHINGLES]
@@ -245,166 +185,164 @@ def wide_fingerprint(text: str | None, width: int = 5) -> tuple[bytes, bytes]:
             rows = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1)
             for lo in range(0, len(rows), 255):
                 ones[64 * k : 64 * k + 64] += np.add.reduce(rows[lo : lo + 255], axis=0, dtype=np.uint8)
-    return xxh128_digest(line), np.packbits(2 * ones > n).tobytes()
+    return np.r_[np.packbits(2 * ones > n), steadfast(np.abs(2 * ones - n) / math.sqrt(n))]
+
 
+def steadfast(margins: np.ndarray) -> np.ndarray:
+    """How likely each byte's eight bits are to stay in a near-duplicate, by their margins in standard deviations: 255 at most."""
+    stay = -np.log1p(np.exp(-3.3 * margins)).reshape(-1, 8).sum(axis=1)
+    return np.rint(255 * np.maximum(0, 1 + stay / 5.6)).astype(np.uint8)
 
-def differing(similarity: float, errors: float = 0.5) -> int:
-    """The bits in which wide fingerprints of that Jaccard similarity differ, and so many standard errors more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = 64 * WIDE
-    return int(n * p + errors * math.sqrt(n * p * (1 - p)))
 
+def differing(similarity: float) -> tuple[int, int]:
+    """The most bits that wide fingerprints of that Jaccard similarity may differ in, and the fewest positional bytes to share."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    same, n = (1 - p) ** 8, 64 * WIDE
+    return int(n * p + MAY_ERRORS * math.sqrt(n * p * (1 - p))), max(1, int(8 * WIDE * same - MAY_ERRORS * math.sqrt(8 * WIDE * same * (1 - same))))
 
-def places(similarity: float, recall: float = 0.95) -> list[tuple[int, ...]]:
-    """Random combinations of positional bytes: pairs of that similarity share one whole with probability recall."""
-    j = min(0.999, similarity)
-    same = (1 - math.acos(2 * j / (1 + j)) / math.pi) ** 8
-    n = math.ceil(math.log(1 - recall) / math.log(1 - same**COMBINED))
+
+def combinations(size: int) -> np.ndarray:
+    """The combinations of positional bytes, as rows of positions."""
     g = np.random.default_rng(SEED)
-    return [tuple(sorted(g.choice(8 * WIDE, COMBINED, replace=False).tolist())) for _ in range(n)]
+    return np.array([np.sort(g.choice(8 * WIDE, size, replace=False)) for _ in range(POSTED[size][0])])
 
 
-def candidates(nodes: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """Pairs (a, b, sure) of (node, wide, claim, settled) that share a combination and whose bits may mean the similarity.
+def length(rows: int) -> int:
+    """The shortest combinations by which a text meets at most BY_CHANCE others by chance; each length finds the same share of pairs."""
+    for size, (kinds, posted) in POSTED.items():
+        if rows * posted**2 / kinds / 256**size <= BY_CHANCE:
+            break
+    return size
 
-    forest: of pairs whose bits say that they are near (sure) a spanning forest of each group, and of others those that it
-    does not connect. Else all pairs of one claim and of two settled classes.
-    """
+
+def postings(wide: np.ndarray, size: int) -> np.ndarray:
+    """Keys of each text: its most steadfast combinations, with the bytes there."""
+    combos, posted = combinations(size), POSTED[size][1]
+    marks, firm = wide[:, : 8 * WIDE].astype(np.int64), wide[:, 8 * WIDE :].astype(np.int64)
+    keys = np.tile(np.arange(len(combos)), (len(wide), 1))
+    for place in combos.T:
+        keys = keys << 8 | marks[:, place]
+    best = np.argsort(-firm[:, combos].sum(axis=2), axis=1, kind="stable")[:, :posted]
+    return np.take_along_axis(keys, best, 1)
+
+
+def candidates(nodes: DataFrame, similarity: float, rows: int) -> DataFrame:
+    """Pairs (a, b) of (node, wide, n): of all that share a posting, a tally of positional bytes and the bits that may mean the similarity, those that connect them."""
     import pyarrow as pa
 
-    combos, most, may = places(similarity), differing(similarity, 0.0), differing(similarity, MAY_ERRORS)
+    (most, least), size = differing(similarity), length(rows)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int64)
-            node = batch.column(0)
-            for t, combo in enumerate(combos):
-                key = np.full(len(wide), t, np.int64)
-                for p in combo:
-                    key = key << 8 | wide[:, p]
-                yield pa.RecordBatch.from_arrays([node, pa.array(key)], names=["node", "key"])
-
-    small_batches(nodes.sparkSession, 20_000)
-    posts = nodes.select("node", "wide").mapInArrow(post, "node long, key long")
-    sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.greatest(F.least(F.ceil(F.col("n") / BLOCK), F.lit(SPREAD)), F.ceil(F.col("n") / LARGEST)).cast("int")
-    dealt = (
-        posts.join(sizes, "key")
-        .withColumn("parts", parts)
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.expr("case when parts = 1 then array(0) else filter(sequence(0, parts - 1), x -> x != own) end")))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node")
-        .join(nodes.select("node", "wide", "claim", "settled"), "node")
-    )
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                keys = postings(fixed_bytes(part.column(1)), size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1])), pa.array(keys.reshape(-1))], names=["node", "key"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_groups(batches, 3):
-            group = pa.Table.from_batches(part).combine_chunks()
-            ids = group.column(3).to_numpy()
-            wide = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint64).reshape(len(ids), -1)
-            claim, settled = group.column(5).to_numpy(), group.column(6).to_numpy()
-
-            def pairs(i: np.ndarray, j: np.ndarray, sure: bool) -> pa.RecordBatch:
-                a, b = ids[i], ids[j]
-                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), sure))], names=["a", "b", "sure"])
-
-            left = np.arange(len(ids))
-            while len(left) > 1:
-                todo, left = [int(left[0])], left[1:]
-                others: list[tuple[int, np.ndarray]] = []
-                while todo and len(left):
-                    i = todo.pop()
-                    bits = np.bitwise_count(wide[left] ^ wide[i]).sum(axis=1, dtype=np.int64)
-                    if not forest:
-                        ok = (bits <= may) & (claim[left] == claim[i]) & (settled[left] != settled[i])
-                        if ok.any():
-                            yield pairs(np.full(ok.sum(), i), left[ok], False)
-                        continue
-                    hit = bits <= most
-                    if (far := (bits <= may) & ~hit).any():
-                        others.append((i, left[far]))
-                    if hit.any():
-                        found, left = left[hit], left[~hit]
-                        todo.extend(found.tolist())
-                        yield pairs(np.full(len(found), i), found, True)
-                for i, far in others:  # but those that the tree has come to take in
-                    if len(far := far[np.isin(far, left)]):
-                        yield pairs(np.full(len(far), i), far, False)
-
+        for rows, starts in whole_groups(batches, 3):
+            node, n = rows.column(3).to_numpy(), rows.column(5).to_numpy()
+            marks = np.ascontiguousarray(fixed_bytes(rows.column(4))[:, : 8 * WIDE]).view(np.uint64)
+
+            def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
+                some = np.flatnonzero(ok)
+                for lo in range(0, len(some), 1 << 16):
+                    at = some[lo : lo + (1 << 16)]
+                    x = marks[i[at]] ^ marks[j[at]]
+                    tally = (x.view(np.uint8) == 0).sum(axis=1)
+                    ok[at] = (tally >= least) & (np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= most)
+                return ok
+
+            for i, j in spanning_links(starts, len(node), near):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+
+    bounded_batches(nodes.sparkSession)
     group = ["key", "lo", "hi"]
-    near = dealt.select(*group, "node", "wide", "claim", "settled").repartition(*group).sortWithinPartitions(*group).mapInArrow(search, "a long, b long, sure boolean")
-    return materialize(near.where("a <> b").groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    posts = nodes.select("node", "wide").mapInArrow(post, "node long, key long")
+    dealt = in_blocks(posts, ["key"], "node", BLOCK, SPREAD, LARGEST).select(*group, "node").join(nodes, "node").select(*group, "node", "wide", "n")
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(search, "a long, b long").where("a <> b").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (a, b) whose shingles have that Jaccard similarity or more; texts: (node, text)."""
-    import pyarrow as pa
+def alike(starts: np.ndarray, sets: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what pairs of that Jaccard similarity or more connect, within each group of sorted sets."""
+    sizes = np.array([len(x) for x in sets])
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), width)[1].tobytes() for t in part.column(1)], pa.binary())], names=["node", "hashes"])
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])
+        some = np.flatnonzero(ok)
+        for first in np.unique(i[some]):  # one set against all that are left
+            at = some[i[some] == first]
+            mine, both = sets[first], np.zeros(len(at), np.int64)
+            if len(mine):
+                full = np.flatnonzero(sizes[j[at]])
+                for lo in range(0, len(full), 256):
+                    part = j[at[full[lo : lo + 256]]]
+                    flat = np.concatenate([sets[k] for k in part])
+                    found = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                    both[full[lo : lo + 256]] = np.add.reduceat(found, np.cumsum(sizes[part]) - sizes[part], dtype=np.int64)
+            ok[at] = both >= similarity * (len(mine) + sizes[j[at]] - both) - 1e-9
+        return ok
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = 0
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    spark = pairs.sparkSession
-    small_batches(spark, 256)
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    held = materialize(texts.join(asked, "node").dropDuplicates(["node", "digest"]).select("node", "text").mapInArrow(hashed, "node long, hashes binary"))
-    one = pairs.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    two = one.join(held.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    found = materialize(two.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
-    return found.distinct()
+    yield from spanning_links(starts, len(sets), near)
 
 
 def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, first): each document's smallest doc_id of those that its links reach, itself included."""
     import pyarrow as pa
+    from xxhash import xxh128_digest
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], pa.binary()) for k in (0, 1))], names=["doc_id", "digest", "wide"])
+            found = [shingles(t.as_py(), width) for t in batch.column(1)]
+            columns = [pa.array([xxh128_digest(line) for line, _ in found], pa.binary()), pa.array([wide_fingerprint(h).tobytes() for _, h in found], pa.binary()), pa.array([len(h) for _, h in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "digest", "wide", "n"])
 
-    small_batches(docs.sparkSession)
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                found = [shingles(t.as_py(), width) for t in part.column(0)]
+                same = pa.array([xxh128_digest(line) == d.as_py() for (line, _), d in zip(found, part.column(1), strict=True)], pa.bool_())
+                sets = pa.array([h.tobytes() for _, h in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), sets], names=["node", "claim", "hashes"]).filter(same)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(batches, 3):
+            node, sets = rows.column(3).to_numpy(), [np.frombuffer(b.as_buffer(), np.uint64) for b in rows.column(4)]
+            for i, j in alike(starts, sets, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
+
+    bounded_batches(docs.sparkSession)
     named = docs.select("doc_id", "text").where("doc_id is not null")
-    marks = materialize(named.mapInArrow(mark, "doc_id long, digest binary, wide binary"))
-    nodes = materialize(marks.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide")))
-    texts = named.select(F.col("doc_id").alias("node"), "text", F.xxhash64("text").alias("digest"))
-    none = F.lit(0).cast("long")
-    pairs = candidates(nodes.select("node", "wide", none.alias("claim"), none.alias("settled")), similarity, True)
-    edges = verified(pairs, texts, similarity, width)
-    if not pairs.where("sure").join(edges, ["a", "b"], "left_anti").isEmpty():
-        # Trees that false links held together: what they claimed to connect, beside what verified links do.
-        claims = materialize(components(pairs.where("sure"))).withColumnRenamed("component", "claim")
-        settled = materialize(components(edges)).withColumnRenamed("component", "settled")
-        beside = materialize(claims.join(settled, "node", "left").withColumn("settled", F.coalesce("settled", "node")))
-        torn = beside.groupBy("claim").agg(F.min("settled").alias("lo"), F.max("settled").alias("hi")).where("lo < hi").select("claim")
-        again = materialize(nodes.select("node", "wide").join(beside.join(torn, "claim"), "node"))
-        edges = edges.union(verified(candidates(again, similarity, False), texts, similarity, width))
+    marks = materialize(named.mapInArrow(mark, "doc_id long, digest binary, wide binary, n long"))
+    nodes = materialize(marks.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")))
+    # What candidates connect is a claim; within it, all pairs are verified on the shingles, which come there once a block.
+    pairs = candidates(nodes.select("node", "wide", "n"), similarity, nodes.count())
+    claims = materialize(nodes.select("node", "digest").join(components(pairs), "node").withColumnRenamed("component", "claim"))
+    near = F.broadcast(claims) if claims.count() <= BROADCAST_IDS else claims
+    texts = named.join(near, F.col("doc_id") == F.col("node")).select("text", "digest", "node", "claim")
+    sets = materialize(texts.mapInArrow(hashed, "node long, claim long, hashes binary").withColumn("n", F.floor(F.length("hashes") / 8)))
+    group = ["claim", "lo", "hi"]
+    met = in_blocks(sets, ["claim"], "node", BLOCK, SPREAD, LARGEST, "n").select(*group, "node", "hashes")
+    edges = met.repartition(*group).sortWithinPartitions(*group).mapInArrow(verify, "a long, b long")
     members = components(edges)
-    firsts = nodes.join(members, "node", "left").select("digest", F.coalesce("component", "node").alias("first"))
-    return marks.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "first")
+    firsts = nodes.join(members, "node", "left").select("digest", "copies", F.coalesce("component", "node").alias("first"))
+    return join_counted(marks.select("doc_id", "digest"), firsts, "digest", "copies").select("doc_id", "first")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The first document of each group of near-duplicates, with the columns it came with.
 
-    Only the ids of documents that go are joined with the documents, broadcast if they are counted and few. Rows that repeat a doc_id stay or go together
-    unless equal texts under one id repeat, which stay; a null doc_id stays.
+    Only the ids of documents that go are joined with the documents, broadcast if they are counted and few. Rows that
+    repeat a doc_id stay or go together, and of those that stay and repeat its text too one is kept; a null doc_id stays.
     """
-    gone = materialize(near_classes(docs, width, similarity).where("doc_id != first").select(F.col("doc_id").alias(fresh("gone_id", docs))).distinct())
+    found = near_classes(docs, width, similarity).groupBy("doc_id").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id <> first")
+    gone_id, repeats = fresh("gone_id", docs), fresh("gone_repeats", docs)
+    gone = materialize(found.select(F.col("doc_id").alias(gone_id), (F.col("doc_id") == F.col("first")).alias(repeats)))
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone[0], "left_anti")
+    rest = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone[gone_id], "left_anti")
+    again = gone.where(F.col(repeats))
+    if again.isEmpty():
+        return rest
+    return rest.unionByName(docs.join(again, docs["doc_id"] == again[gone_id], "left_semi").dropDuplicates(["doc_id", "text"]))

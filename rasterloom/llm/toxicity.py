@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import held_out, small_batches
+from rasterloom.llm.common import bounded_batches, held_out
 from rasterloom.llm.ngrams import Vocabulary, hashed, in_order, shares
 
 WORD = re.compile(r"[^\W_]+")
@@ -332,6 +332,6 @@ def query(docs: DataFrame, labels: DataFrame, per_label: int = 2500, most_chars:
                 scores = of(texts) if of else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, score double, predicted int")
