@@ -150,7 +150,7 @@ MAY_ERRORS = 3.0
 #: Candidates by chance that a text may have, from which on combinations are longer.
 BY_CHANCE = 1000
 #: Combinations of so many positional bytes: how many there are, and under how many of these a text is posted.
-POSTED = {2: (300, 60), 3: (600, 270)}
+POSTED = {2: (1200, 88), 3: (600, 270)}
 #: Ids of documents, up to which they are broadcast, 32 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -242,7 +242,7 @@ def candidates(nodes: DataFrame, similarity: float, rows: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_groups(batches, 3):
             node, n = rows.column(3).to_numpy(), rows.column(5).to_numpy()
-            marks = np.ascontiguousarray(fixed_bytes(rows.column(4))[:, : 8 * WIDE]).view(np.uint64)
+            marks = np.ascontiguousarray(fixed_bytes(rows.column(4))).view(np.uint64)
 
             def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
@@ -259,8 +259,9 @@ def candidates(nodes: DataFrame, similarity: float, rows: int) -> DataFrame:
 
     bounded_batches(nodes.sparkSession)
     group = ["key", "lo", "hi"]
+    marks = nodes.select("node", F.substring("wide", 1, 8 * WIDE).alias("wide"), "n")
     posts = nodes.select("node", "wide").mapInArrow(post, "node long, key long")
-    dealt = in_blocks(posts, ["key"], "node", BLOCK, SPREAD, LARGEST).select(*group, "node").join(nodes, "node").select(*group, "node", "wide", "n")
+    dealt = in_blocks(posts, ["key"], "node", BLOCK, SPREAD, LARGEST).select(*group, "node").join(marks, "node").select(*group, "node", "wide", "n")
     return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(search, "a long, b long").where("a <> b").distinct()
 
 
@@ -324,7 +325,7 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
     texts = named.join(near, F.col("doc_id") == F.col("node")).select("text", "digest", "node", "claim")
     sets = materialize(texts.mapInArrow(hashed, "node long, claim long, hashes binary").withColumn("n", F.floor(F.length("hashes") / 8)))
     group = ["claim", "lo", "hi"]
-    met = in_blocks(sets, ["claim"], "node", BLOCK, SPREAD, LARGEST, "n").select(*group, "node", "hashes")
+    met = in_blocks(sets, ["claim"], "node", BLOCK // 2, SPREAD, LARGEST, "n").select(*group, "node", "hashes")
     edges = met.repartition(*group).sortWithinPartitions(*group).mapInArrow(verify, "a long, b long")
     members = components(edges)
     firsts = nodes.join(members, "node", "left").select("digest", "copies", F.coalesce("component", "node").alias("first"))

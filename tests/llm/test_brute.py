@@ -454,7 +454,7 @@ def test_near_duplicates_behind_a_wide_claim(spark, monkeypatch):
     texts += [texts[1][:300] + new(4), new(2) + texts[1][2:]]
     monkeypatch.setattr(simhash, "differing", lambda similarity: (200, 1))  # bits call all of them near
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    for block in (256, 1):
+    for block in (256, 2):
         monkeypatch.setattr(simhash, "BLOCK", block)
         assert {r.doc_id: r["first"] for r in simhash.near_classes(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 1}
 
