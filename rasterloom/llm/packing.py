@@ -1,11 +1,14 @@
 """Best-fit packing of token sequences by a configuration linear program over the length histogram.
 
 Documents become token counts on the executors (ids never leave them); only the histogram of piece lengths, whose
-size is the capacity, comes to the driver. There, multiplicative weights raise the price of lengths that are little
-covered and a knapsack dynamic program finds the configuration of the highest price; the fractional solution is
-rounded down, and what is left is filled by the same program, longest length first, in runs of equal sequences. The
-plan is a list of runs (length, ranks, first sequence), as bounded as the histogram; executors look it up for each
-piece by its rank among the pieces of its length.
+size is the capacity, comes to the driver. There the linear program over configurations is solved: its weights, one a
+length, are multiplied by what a length needs over what it gets, and a knapsack dynamic program over all lengths prices
+the configurations. The program keeps sums where one for the dearest configuration keeps maxima, so that one pass
+prices all configurations, tells the coverage that they bring and draws thousands of them, where each pass of the other
+brings one. The solution is rounded by taking drawn configurations whole as long as pieces last, again and again on
+what is left; the last twentieth is filled by a knapsack, longest length first. The plan is a list of runs (length,
+ranks, first sequence), as bounded as the histogram; executors look it up for each piece by its rank among the pieces
+of its length.
 
 `pack_in_order` keeps the order of its input as well: it cuts the pieces, in the order of the files and rows they came
 in, into runs of so many sequences' tokens, and packs each run by a program of its own, on the executors. Sequences of
@@ -18,9 +21,11 @@ Repeated rows are packed each on its own. An empty table gives no rows. Extra co
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -31,6 +36,11 @@ from rasterloom.llm.common import bounded_batches, materialize, ranked, tokenize
 
 CAPACITY = 4096
 END_ID = 1
+SEED = 8
+#: Where the weight of unfilled tokens starts, and the share of them that solutions are led to.
+WASTE, SPARE = 1e-3, 1e-3
+#: The power of needed over got coverage in a factor, and the part of the last factor.
+RATE, MOMENTUM = 0.6, 0.5
 #: Sequences' tokens in a run of `pack_in_order`: a share of all sequences, within these bounds.
 RUN_SHARE, LEAST_RUN, MOST_RUN = 1 / 32, 16, 256
 #: Distinct words whose ids a worker keeps.
@@ -136,83 +146,193 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, m
     return docs.select("doc_id", "text", *kept).mapInArrow(cut, ", ".join(["doc_id long, piece int, start long, length long, ids_crc32 long", *([more] if more else [])]))
 
 
-def _fill(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:
-    """How often to take each length for the highest price within room: a knapsack over (length, copies) in powers of two."""
-    used = np.zeros(len(lengths), np.int64)
-    best = np.zeros(room + 1)
-    steps: list[tuple[int, int, int, np.ndarray]] = []
-    for k, (length, price, n) in enumerate(zip(lengths.tolist(), prices.tolist(), most.tolist(), strict=True)):
+def _steps(lengths: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:
+    """Rows (index of a length, copies, their tokens): each length's copies within room and most, in powers of two."""
+    rows = []
+    for k, (length, n) in enumerate(zip(lengths.tolist(), most.tolist(), strict=True)):
         n, copies = min(n, room // length), 1
         while n > 0:
             copies = min(copies, n)
             n -= copies
-            w = length * copies
-            other = best[: room + 1 - w] + price * copies
-            better = other > best[w:] + 1e-12
-            best[w:] = np.where(better, other, best[w:])
-            steps.append((k, w, copies, better))
+            rows.append((k, copies, length * copies))
             copies *= 2
-    at = int(np.argmax(best))
-    for k, w, copies, better in reversed(steps):
-        if at >= w and better[at - w]:
-            used[k] += copies
-            at -= w
-    return used
+    return np.array(rows, np.int64).reshape(-1, 3)
+
+
+def _fill(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, room: int) -> tuple[np.ndarray, float]:
+    """How often to take each length for the highest price within room, and that price: a knapsack."""
+    steps, best = _steps(lengths, most, room), np.zeros(room + 1)
+    better = np.zeros((len(steps), room + 1), bool)
+    for s, (k, copies, w) in enumerate(steps.tolist()):
+        other = best[: room + 1 - w] + prices[k] * copies
+        np.greater(other, best[w:] + 1e-12, out=better[s, w:])
+        np.copyto(best[w:], other, where=better[s, w:])
+    used, at = np.zeros(len(lengths), np.int64), int(np.argmax(best))
+    price = float(best[at])
+    for s in range(len(steps) - 1, -1, -1):
+        if better[s, at]:
+            used[steps[s, 0]] += steps[s, 1]
+            at -= steps[s, 2]
+    return used, price
+
+
+class _Pricing:
+    """A knapsack over all lengths that weighs every configuration at once, by the product of its lengths' weights.
+
+    The program runs over (length, copies) and filled tokens, as that for the dearest configuration does, with sums
+    in place of maxima; so it gives the coverage that configurations bring on average, and draws as many of them as are
+    asked for. Unfilled tokens have a weight of their own.
+    """
+
+    def __init__(self, lengths: np.ndarray, most: np.ndarray, capacity: int):
+        self.steps, self.capacity, self.n = _steps(lengths, most, capacity), capacity, len(lengths)
+        self.copies = np.bincount(self.steps[:, 0], self.steps[:, 1], self.n)
+        self.taken = np.zeros((len(self.steps), capacity + 1), np.float32)
+
+    def weigh(self, odds: np.ndarray, waste: float) -> None:
+        """The chance, by filled tokens, that a step is taken; odds are those of each length's single copy, waste those of unfilled tokens."""
+        part = np.full(self.capacity + 1, waste / self.capacity)
+        part[0], scale = 1.0, 0.0
+        add = np.empty_like(part)
+        chance = odds / (1 + odds)
+        for s, (k, _, w) in enumerate(self.steps.tolist()):
+            more = add[: self.capacity + 1 - w]
+            np.multiply(part[: self.capacity + 1 - w], chance[k], out=more)
+            part *= 1 - chance[k]
+            part[w:] += more
+            np.divide(more, np.maximum(part[w:], 1e-300), out=self.taken[s, w:], casting="unsafe")
+            if s % 16 == 15:
+                most = part.max()
+                part /= most
+                scale += math.log(most)
+        self.odds, self.waste = np.log(odds), math.log(waste / self.capacity)
+        self.none = float(np.log1p(-chance)[self.steps[:, 0]].sum()) - math.log(max(part[self.capacity], 1e-300)) - scale
+
+    def coverage(self) -> tuple[np.ndarray, float]:
+        """How often a configuration holds each length, and the tokens that it leaves unfilled, both on average."""
+        at = np.zeros(self.capacity + 1, np.float32)
+        at[self.capacity] = 1.0
+        out = np.zeros(self.n)
+        for s in range(len(self.steps) - 1, -1, -1):
+            k, copies, w = self.steps[s]
+            moved = at[w:] * self.taken[s, w:]
+            out[k] += copies * float(moved.sum())
+            at[w:] -= moved
+            at[: self.capacity + 1 - w] += moved
+        return out, float(at @ np.arange(self.capacity + 1))
+
+    def draw(self, n: int, rng: np.random.Generator) -> list[tuple[int, float, int, np.ndarray, np.ndarray]]:
+        """The distinct ones of n drawn configurations: (unfilled tokens, chance, draws, indices of lengths, times), the fullest first."""
+        at, rows, steps = np.full(n, self.capacity), [], []
+        for s in range(len(self.steps) - 1, -1, -1):
+            hit = np.flatnonzero(rng.random(n, np.float32) < self.taken[s, at])
+            at[hit] -= self.steps[s, 2]
+            rows.append(hit)
+            steps.append(np.full(len(hit), s))
+        row, taken = np.concatenate(rows), np.concatenate(steps)
+        order = np.lexsort((taken, row))
+        row, taken = row[order], taken[order]
+        ends = np.searchsorted(row, np.arange(n + 1))
+        seen: dict[bytes, list] = {}
+        for j in range(n):
+            mine = taken[ends[j] : ends[j + 1]]
+            if (key := mine.tobytes()) in seen:
+                seen[key][2] += 1
+            elif len(mine):
+                k, copies, _ = self.steps[mine].T
+                first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+                chance = math.exp(min(0.0, self.none + self.odds[k].sum() + (self.waste if at[j] else 0.0)))
+                seen[key] = [int(at[j]), chance, 1, k[first], np.add.reduceat(copies, first)]
+        return sorted(map(tuple, seen.values()), key=lambda c: (c[0], -c[1]))
+
+
+@dataclass
+class Packing:
+    """Runs (copies, lengths, times); the program's value and a bound below it; pieces that rounded configurations hold."""
+
+    runs: list[tuple[int, np.ndarray, np.ndarray]]
+    value: float
+    bound: float
+    rounded: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(copies for copies, *_ in self.runs)
+
+
+def solve(lengths: np.ndarray, need: np.ndarray, capacity: int, gap: float, rounds: int, start: np.ndarray | None = None) -> tuple[_Pricing, float, float, np.ndarray]:
+    """The configuration linear program by multiplicative weights: pricing at its end, value, bound and log weights.
+
+    min sum x_c over configurations c, sum x_c c[l] >= need[l]. A solution is a mean of configurations, as many as
+    are needed for the length that they cover least. Each round multiplies a length's weight by a power of what is
+    needed of it over what it got, and by a part of its last factor; unfilled tokens are a length of which next to none
+    is needed. It ends when the solution is within gap of the area bound, or after so many rounds.
+    """
+    pricing = _Pricing(lengths, need, capacity)
+    area = float(lengths @ need) / capacity
+    share = np.minimum(0.999, need / area / pricing.copies)  # of sequences that a single copy should be in
+    weights = np.r_[np.log(share / (1 - share)), math.log(WASTE)] if start is None else start
+    value, kept, factor = math.inf, weights, 0.0
+    for _ in range(rounds):
+        pricing.weigh(np.exp(weights[:-1]), math.exp(weights[-1]))
+        got, waste = pricing.coverage()
+        ratio = need / np.maximum(area * got, 1e-9 * need)
+        if area * float(ratio.max()) < value:
+            value, kept = area * float(ratio.max()), weights
+        if value <= area * (1 + gap):
+            break
+        factor = RATE * np.log(np.clip(ratio, 0.01, 100)) + MOMENTUM * factor
+        step = np.r_[np.clip(factor, -3, 3), np.clip(math.log(SPARE * capacity / max(waste, 1e-9)), -2, 2)]
+        weights = np.clip(weights + step, -60, 25)
+    return pricing, value, area, kept
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = 200, eta: float = 4.0, step: float = 0.5, pool: int = 64) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs (copies, lengths, times) that hold histogram[l] pieces of each length l exactly.
+def plan(histogram: np.ndarray, capacity: int = CAPACITY, gap: float = 0.005, rounds: int = 400, residue: float = 0.05, draws: int = 4096, work: int = 400_000, seed: int = SEED) -> Packing:
+    """Runs that hold histogram[l] pieces of each length l exactly.
 
-    rounds bounds the multiplicative-weights rounds, eta is the weights' rate, step the share of the scarcest
-    length that a round takes, pool the lengths that a round prices.
+    The program is solved to the gap, or for so many rounds and steps of pricing (work; 60 rounds at least), and its solution rounded: configurations drawn from it are
+    taken as often as they stand in it and pieces last, and what is left is a smaller program of the same kind, until
+    a share of `residue` of all pieces is left. These are filled by a knapsack, longest first. rounds=0 leaves all to that.
     """
     need = histogram.astype(np.int64).copy()
     need[0] = 0
     runs: list[tuple[int, np.ndarray, np.ndarray]] = []
-    if need[capacity]:
-        runs.append((int(need[capacity]), np.array([capacity]), np.array([1])))
+    if full := int(need[capacity]):
+        runs.append((full, np.array([capacity]), np.array([1])))
         need[capacity] = 0
-    all_lengths = np.flatnonzero(need)
-    if not len(all_lengths):
-        return runs
-    # The linear program: min sum x_c over configurations c with sum x_c c[l] >= need[l].
-    target = need[all_lengths].astype(float)
-    covered = np.zeros(len(all_lengths))
-    solution: dict[tuple, float] = {}
-    for _ in range(rounds):
-        weight = np.exp(-eta * covered / target)
-        open_ = np.flatnonzero(covered < target * (1 - 1e-9))
-        if not len(open_):
+    total, value, bound, kept = int(need.sum()), float(full), float(full), None
+    rng, spare = np.random.default_rng(seed), None
+    while rounds and need.sum() > residue * total:
+        lengths = np.flatnonzero(need)[::-1]
+        pricing, now, area, weights = solve(lengths, need[lengths], capacity, gap, min(rounds, max(60, work // len(lengths))) if kept is None else 1 + min(rounds, 100) // 8, None if kept is None else np.r_[kept[lengths], kept[0]])
+        if kept is None:
+            value, bound, kept = value + now, bound + area, np.zeros(capacity + 1)
+        kept[lengths], kept[0] = weights[:-1], weights[-1]
+        pricing.weigh(np.exp(weights[:-1]), math.exp(weights[-1]))
+        n = int(min(draws, max(64, 4 * area)))
+        drawn = pricing.draw(n, rng)
+        if spare is None:  # unfilled tokens that a solution can't do without
+            spare = int(np.quantile(np.repeat([c[0] for c in drawn], [c[2] for c in drawn]), 0.9))
+        left, carry = int(need.sum()), 0.5
+        for waste, chance, times_drawn, at, times in drawn:
+            if waste > spare:
+                break
+            if (copies := int(area * chance + 1e-9)) < 1:  # those of less than one sequence by their draws
+                carry += times_drawn * area / n
+                copies = max(1, int(carry))
+            copies = min(copies, int((need[lengths[at]] // times).min()))
+            if copies > 0:
+                carry = max(0.0, carry - copies) if area * chance < 1 else carry
+                need[lengths[at]] -= copies * times
+                runs.append((copies, lengths[at], times))
+        if need.sum() > 0.97 * left:
             break
-        order = open_[np.lexsort((-all_lengths[open_], -weight[open_]))]
-        if len(order) > pool:  # the dearest, and lengths of every size beside them
-            order = np.unique(np.concatenate([order[: pool // 2], open_[np.linspace(0, len(open_) - 1, pool - pool // 2).astype(int)]]))
-        order = order[np.argsort(-all_lengths[order])]
-        lengths = all_lengths[order]
-        left = np.maximum(0, np.floor(target[order] - covered[order] + 1e-9)).astype(np.int64)
-        times = _fill(lengths, lengths * weight[order], np.maximum(1, np.minimum(left, 4)), capacity)
-        at = np.flatnonzero(times)
-        amount = max(step * float(np.min((target - covered)[order[at]] / times[at])), min(1.0, float(np.min((target - covered)[order[at]] / times[at]))))
-        covered[order[at]] += amount * times[at]
-        key = (tuple(lengths[at].tolist()), tuple(times[at].tolist()))
-        solution[key] = solution.get(key, 0.0) + amount
-    # Rounding down, fullest configurations first.
-    for (lengths, times), x in sorted(solution.items(), key=lambda c: (-np.dot(*c[0]), c[0])):
-        at, times = np.array(lengths), np.array(times)
-        if copies := int(min(np.floor(x + 1e-9), np.min(need[at] // times))):
-            need[at] -= copies * times
-            runs.append((copies, at, times))
-    # What is left: the longest length, and the fullest fill beside it, as often as both last.
+    rounded = total - int(need.sum())
     while len(open_ := np.flatnonzero(need)):
         longest = int(open_[-1])
         need[longest] -= 1
-        open_ = open_[need[open_] > 0]
-        fits = open_[open_ <= capacity - longest]
-        if len(fits) > pool:
-            keep = np.concatenate([fits[np.argsort(-need[fits], kind="stable")[: pool // 4]], fits[np.linspace(0, len(fits) - 1, pool - pool // 4).astype(int)]])
-            fits = np.unique(keep)
-        fits = fits[::-1]
-        times = _fill(fits, fits * (1 + 1e-6 * fits / capacity), need[fits], capacity - longest) if len(fits) else np.zeros(0, np.int64)
+        fits = open_[(need[open_] > 0) & (open_ <= capacity - longest)][::-1]
+        times = _fill(fits, fits * (1 + 1e-6 * fits / capacity), need[fits], capacity - longest)[0] if len(fits) else np.zeros(0, np.int64)
         need[longest] += 1
         got = {int(n): int(t) for n, t in zip(fits, times, strict=True) if t}
         got[longest] = got.get(longest, 0) + 1
@@ -221,7 +341,7 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = 200, eta
         copies = int(np.min(need[at] // times))
         need[at] -= copies * times
         runs.append((copies, at, times))
-    return runs
+    return Packing(runs, value, bound, rounded)
 
 
 def _lookup(runs: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -246,7 +366,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in cut.groupBy("length").count().collect():  # capacity rows at most
         histogram[length] = n
-    look = spark.sparkContext.broadcast(_lookup(plan(histogram, capacity)))
+    look = spark.sparkContext.broadcast(_lookup(plan(histogram, capacity).runs))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = look.value
@@ -289,7 +409,7 @@ def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
     def place(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("at", ignore_index=True)
         length = f.length.to_numpy(np.int64)
-        rows = _lookup(plan(np.bincount(length, minlength=capacity + 1), capacity))
+        rows = _lookup(plan(np.bincount(length, minlength=capacity + 1), capacity, rounds=40).runs)
         rank = f.groupby("length").cumcount().to_numpy(np.int64)
         row = rows[np.searchsorted(rows[:, 0] << 48 | rows[:, 1], length << 48 | rank, side="right") - 1]
         nth = rank - row[:, 1]

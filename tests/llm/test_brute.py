@@ -358,23 +358,79 @@ def test_tokens_and_packing(spark, plain):
     assert max(used.values()) <= 4096 and len(used) <= math.ceil(total / 4096) + 2
 
 
+def held(runs, capacity):
+    got = np.zeros(capacity + 1, np.int64)
+    for copies, lengths, times in runs:
+        assert copies > 0 and (lengths * times).sum() <= capacity
+        got[lengths] += copies * times
+    return got
+
+
 def test_plan_is_whole():
     rng = np.random.default_rng(1)
     for scale in (0, 3, 50):
         h = np.zeros(65, np.int64)
         for n in rng.integers(1, 65, 40 * scale):
             h[n] += 1
-        runs = packing.plan(h, 64, rounds=60)
-        got = np.zeros(65, np.int64)
-        for copies, lengths, times in runs:
-            assert (lengths * times).sum() <= 64
-            got[lengths] += copies * times
-        assert (got == h).all()
-        assert sum(c for c, _, _ in runs) <= math.ceil((h * np.arange(65)).sum() / 64) * 1.05 + 1
-    look = packing._lookup(packing.plan(h, 64))
+        found = packing.plan(h, 64)
+        assert (held(found.runs, 64) == h).all()
+        assert found.sequences <= math.ceil((h * np.arange(65)).sum() / 64) * 1.05 + 1
+    look = packing._lookup(packing.plan(h, 64).runs)
     assert len(look) == len({(a, b) for a, b, *_ in look.tolist()})
 
 
+def exact_triples(seed, capacity=100, times=200):
+    """Twelve kinds of three lengths that fill a sequence; the best packing is known."""
+    rng, h = np.random.default_rng(seed), np.zeros(capacity + 1, np.int64)
+    for _ in range(12):
+        a, b = sorted(rng.integers(1, capacity, 2))
+        h[a] += times
+        h[b - a] += times
+        h[capacity - b] += times
+    h[0] = 0
+    return h
+
+
+@pytest.mark.parametrize(("seed", "most"), [(4, 2412), (6, 2404)])
+def test_configurations_matter(seed, most):
+    """Where the longest and its fullest fill go wrong, the program's configurations don't."""
+    h = exact_triples(seed)
+    found, greedy = packing.plan(h, 100), packing.plan(h, 100, rounds=0)
+    assert greedy.rounded == 0 and found.sequences < greedy.sequences
+    assert found.sequences <= most and found.value <= 1.01 * found.bound and found.bound == pytest.approx(2400)
+    assert found.rounded >= 0.9 * h.sum() and (held(found.runs, 100) == h).all()
+
+
+def test_configurations_hold_most_pieces():
+    rng = np.random.default_rng(2)
+    lognormal = np.bincount(np.clip(rng.lognormal(4, 1, 8000).astype(int) + 1, 1, 511), minlength=513)
+    few = np.bincount(np.clip(rng.lognormal(4.5, 1, 700).astype(int) + 1, 1, 511), minlength=513)
+    for h in (lognormal, few):
+        found, greedy = packing.plan(h, 512), packing.plan(h, 512, rounds=0)
+        assert (held(found.runs, 512) == h).all() and found.rounded >= 0.9 * h.sum()
+        assert found.sequences <= greedy.sequences and found.value <= 1.02 * found.bound
+
+
+def test_pricing_is_the_brute_force_mean():
+    """Coverage is the mean over all configurations, each weighed by its lengths' odds and full or not."""
+    lengths, need, capacity = np.array([5, 3, 2]), np.array([1, 2, 1]), 10
+    odds, waste = np.array([0.7, 0.4, 1.5]), 0.05
+    pricing = packing._Pricing(lengths, need, capacity)
+    pricing.weigh(odds, waste)
+    got, spare = pricing.coverage()
+    total, cover, left = 0.0, np.zeros(3), 0.0
+    for takes in itertools.product(*([0, 1] for _ in pricing.steps)):
+        k, copies, w = pricing.steps.T
+        free = capacity - int(np.dot(takes, w))
+        if free < 0:
+            continue
+        weight = math.prod(odds[i] for i, t in zip(k, takes, strict=True) if t) * (waste / capacity if free else 1)
+        total += weight
+        cover += weight * np.bincount(k, np.array(takes) * copies, 3)
+        left += weight * free
+    assert got == pytest.approx(cover / total, rel=1e-4) and spare == pytest.approx(left / total, rel=1e-4)
+
+
 def test_pipeline(spark, plain):
     """The stages one after another, against plain versions of what each decides."""
     from tokenizers import Tokenizer
