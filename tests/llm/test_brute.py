@@ -265,6 +265,55 @@ def test_secret_names_need_no_cue_word():
             assert [around[a:b] for a, b, k in secret_scan.scan(around)[1] if k == "pair"] == [literal], around
 
 
+def test_secret_syntax():
+    pair = lambda text: [text[a:b] for a, b, k in secret_scan.scan(text)[1] if k == "pair"]
+    assert pair('api-key = "Zx81abQ9rT55mmL2"') == pair("private-key: \"Zx81abQ9rT55mmL2\"") == ["Zx81abQ9rT55mmL2"]
+    assert pair('db_pass = "hunter2X9y8z7Q1w2"') == ["hunter2X9y8z7Q1w2"] and pair("x-access-key: Zx81+Q9rT/5mmL2==") == ["Zx81+Q9rT/5mmL2=="]
+    assert pair('db_secret = "abc1" + "def2" + "gh3X"\n') == ["abc1", "def2", "gh3X"] == pair('a = "abc1"\nb = a + "def2"\nclient_secret = b + \\\n  "gh3X"\n')
+    assert pair('db_secret = "abc1", "def2"') == [] and pair('colour = "abc1" + "def2" + "gh3Xkk2"') == []
+    assert pair("token_store:\n  secret_key: |\n    kf93JfkQ02lds9aa\n    Zx81abQ9rT55mmL2\n  colour: red\n") == ["kf93JfkQ02lds9aa", "Zx81abQ9rT55mmL2"]
+    assert pair("<config><password>Zx81abQ9rT55mmL2</password><colour>Zx81abQ9rT55mmL2</colour></config>") == ["Zx81abQ9rT55mmL2"]
+
+
+def test_secret_values_may_double():
+    text = 'secret_a = "Zx81abQ9rT55mmL2"\n' + "secret_a = secret_a + secret_a\n" * 100
+    assert [text[a:b] for a, b, k in secret_scan.scan(text)[1] if k == "pair"] == ["Zx81abQ9rT55mmL2"]
+    chain = 'v0 = "Zx81abQ9rT55mmL2"\n' + "".join(f'v{k + 1} = v{k} + "q{k}"\n' for k in range(3000)) + "password = v3000\n"
+    assert sum(k == "pair" for *_, k in secret_scan.scan(chain)[1]) == 3001
+
+
+def test_secret_propagation_against_brute_force():
+    """Random programs: each name's strings by plain evaluation, all literals of each by plain recursion."""
+    rng = random.Random(12)
+    names = ["password", "client_secret", "colour", "seed", "v1", "auth_token"]
+    for _ in range(400):
+        lines, env, want = [], {}, set()
+        at = 0
+        for _ in range(rng.randrange(1, 12)):
+            name, parts, value, held_ = rng.choice(names), [], "", []
+            for _ in range(rng.randrange(1, 4)):
+                if env and rng.random() < 0.5:
+                    used = rng.choice(sorted(env))
+                    parts.append(used)
+                    value += env[used][0]
+                    held_ += env[used][1]
+                else:
+                    text = "".join(rng.choices("abZY019-", k=rng.randrange(3, 18)))
+                    start = at + len(f"{name} = " + " + ".join(parts) + (" + " if parts else "")) + 1
+                    parts.append(f'"{text}"')
+                    value += text
+                    held_.append((start, start + len(text), text))
+            line = f"{name} = " + " + ".join(parts) + "\n"
+            n = secret_scan.name_score(name)
+            whole = secret_scan.secret(n, secret_scan.literal_score(value))
+            want |= {(a, b) for a, b, x in held_ if whole or secret_scan.secret(n, secret_scan.literal_score(x))}
+            env[name] = (value, held_)
+            lines.append(line)
+            at += len(line)
+        text = "".join(lines)
+        assert secret_scan.added(text) == want, text
+
+
 def fold(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
