@@ -141,6 +141,29 @@ def test_embedding_blocks_lose_nothing(spark, monkeypatch):
     assert {r.n_links for r in out} == {89} and {r.component_id for r in out} == {0}
 
 
+def test_embedding_recall_at_the_threshold(spark, tmp_path):
+    """Pairs of a known cosine among 100,000 vectors: none below 0.9, nine tenths and more of those just above."""
+    rng = np.random.default_rng(6)
+    n, planted = 100_000, 3000
+    data = rng.standard_normal((n, 48))
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    cosine = rng.uniform(0.88, 0.92, planted)
+    base, aside = data[:planted], data[planted : 2 * planted]
+    aside = aside - (aside * base).sum(axis=1)[:, None] * base
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    data[planted : 2 * planted] = cosine[:, None] * base + np.sqrt(1 - cosine**2)[:, None] * aside
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(data.reshape(-1), 48).cast(pa.list_(pa.float64()))}), f"{tmp_path}/vectors.parquet")
+    out = {r.vec_id: r for r in embed_dedup.query(spark.read.parquet(f"{tmp_path}/vectors.parquet").repartition(8)).collect()}
+    true = (data[:planted] * data[planted : 2 * planted]).sum(axis=1)
+    found = np.array([out[k + planted].component_id == k for k in range(planted)])
+    assert len(out) == n and not found[true < 0.9].any()
+    assert found[(true >= 0.9) & (true < 0.905)].mean() >= 0.93 and found[true >= 0.9].mean() >= 0.95
+    assert all(out[k].n_links == 0 for k in range(2 * planted, n, 97))
+
+
 def test_quality_counts(spark, docs, plain):
     texts = {i: r.text for i, r in plain.items()} | {10**6: "a b c d e f a b c d e g h\n\n x \n x \n#$%\x0bz", 10**6 + 1: "a a a a a a a a a a a a", 10**6 + 2: " \t"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")

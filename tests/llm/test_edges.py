@@ -79,3 +79,10 @@ def test_embeddings_edges(spark):
     assert out[1] == (2, 1, True) and out[2] == (2, 1, False) and out[3] == (2, 1, False)
     assert all(out[k] == (0, k, True) for k in (4, 5, 6, 7, 8, 9, 10, 11)) and out[None][0] == 0
     assert embed_dedup.query(df.limit(0)).count() == 0
+
+
+def test_embeddings_that_repeat_an_id_or_are_large(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e-200, 1e-200], 0), (3, [1.0, -1.0], 0), (3, [5.0, 5.1], 0), (4, [-1.0, 0.0], 0), (4, [-1.0, 0.0], 1), (None, None, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, u int").selectExpr("*", "1 as key", "'x' as place", "2 as copies", "3 as component", "4 as v")
+    out = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embed_dedup.query(df).collect())
+    assert out == [(0, 0, 0, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
