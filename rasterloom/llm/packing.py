@@ -43,12 +43,16 @@ WASTE, SPARE = 1e-3, 1e-3
 RATE, MOMENTUM = 0.6, 0.5
 #: Sequences' tokens in a run of `pack_in_order`: a share of all sequences, within these bounds.
 RUN_SHARE, LEAST_RUN, MOST_RUN = 1 / 32, 16, 256
-#: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 800_000
+#: Runs between blanks whose ids a worker keeps, some 200 bytes each.
+CACHE_WORDS = 1_500_000
 #: Words of Latin-1 texts as the tokenizer splits them, after lower-casing.
 LATIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµº\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-z0-9ªµº²³¹¼½¾\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
+#: Separators at which Python splits and the tokenizer does not.
+UNLIKE = re.compile("[\x1c-\x1f]")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -83,8 +87,9 @@ def _encode_words(words: list[str], path: str) -> dict[str, bytes]:
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian 32-bit numbers.
 
-    A text within Latin-1 is lower-cased and split here, and each distinct word's ids are kept; the tokenizer gives
-    a word the same ids wherever it stands. Other texts, and those with a special token's opening, go to it whole.
+    A text within Latin-1 is lower-cased and split here, at blanks and then into the tokenizer's words, and the ids of
+    each distinct run between blanks are kept; the tokenizer gives a word the same ids wherever it stands. Other texts,
+    and those with a special token's opening or a separator that only one of the two splits at, go to it whole.
     """
     known = word_ids(path)
     out: list = [None] * len(texts)
@@ -92,25 +97,31 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     new: set[str] = set()
     for i, text in enumerate(texts):
         try:
-            if "<|" in text:
+            if "<|" in text or UNLIKE.search(text):
                 raise ValueError
-            text.encode("latin-1")
+            text.isascii() or text.encode("latin-1")
         except ValueError:
             out[i] = np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             continue
-        words = LATIN_WORD.findall(text.lower())
-        split.append((i, words))
-        new.update(words)
-    new.difference_update(known)
+        runs = text.lower().split()
+        ids = list(map(known.get, runs))
+        if None in ids:
+            split.append((i, runs))
+            new.update(r for r, x in zip(runs, ids, strict=True) if x is None)
+        else:
+            out[i] = b"".join(ids)
     if new:
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
-            new = {w for _, words in split for w in words}
-        names = list(new)
-        for at in range(0, len(names), 2000):
-            known.update(_encode_words(names[at : at + 2000], path))
-    for i, words in split:
-        out[i] = b"".join(map(known.__getitem__, words))
+            new = {r for _, runs in split for r in runs}
+        inner = {r: LATIN_WORD.findall(r) for r in new}
+        words = list({w for ws in inner.values() for w in ws})
+        of: dict[str, bytes] = {}
+        for at in range(0, len(words), 2000):
+            of.update(_encode_words(words[at : at + 2000], path))
+        known.update((r, b"".join([of[w] for w in ws])) for r, ws in inner.items())
+    for i, runs in split:
+        out[i] = b"".join(map(known.__getitem__, runs))
     return out
 
 
