@@ -70,11 +70,90 @@ def encode_tiles(tiles: DataFrame, spec: write.ImageSpec, order: str = "<", imag
     return tiles.select("block", "rows", "cols", "samples").mapInArrow(encode, "image int, block long, payload binary")
 
 
-def write_tiles(tiles: DataFrame, path: str, spec: write.ImageSpec, fmt: str = "tiff", fill: float | None = None, byte_order: str = "little", variant: str = "auto") -> None:
-    """One file of tiles (block, rows, cols, samples); with a fill, tiles that never came hold it."""
+def overview_tiles(tiles: DataFrame, spec: write.ImageSpec, levels: list[int], resampling: str = "nearest", nodata: str | None = None, fill: float | None = None, order: str = "<") -> DataFrame:
+    """(image, block, payload) of the overviews of tiles (block, rows, cols, samples): images 1, 2, ... by level.
+
+    A tile leaves its part of every level at once: sums and counts of the cells it touches, cut at the overview's blocks,
+    so one pass over the tiles and one shuffle of 1 / level^2 of their samples make all levels and bands. With a fill,
+    samples that no tile brought count as it.
+    """
+    h, w = spec.block
+    down, across = spec.grid
+    spp, kind = spec.block_spp, spec.sample
+    none = write.nodata_as(nodata, kind)
+    smalls = [replace(spec, width=-(-spec.width // v), height=-(-spec.height // v), reduced=True, tags=()) for v in levels]
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for block, rows, cols, samples in zip(*(batch.column(k) for k in range(4)), strict=True):
+                block, rows, cols = block.as_py(), rows.as_py(), cols.as_py()
+                plane, (ty, tx) = block // (down * across), divmod(block % (down * across), across)
+                rows, cols, full = min(rows, spec.height - ty * h), min(cols, spec.width - tx * w), cols
+                values = samples.values.to_numpy(zero_copy_only=False).reshape(-1, full, spp)[:rows, :cols].astype(kind).astype(np.float64)
+                good = values != none if none is not None and not np.isnan(none) else np.ones(values.shape, bool)
+                for k, level in enumerate(levels):
+                    y, x = (np.arange(n) + start for n, start in ((rows, ty * h), (cols, tx * w)))
+                    if resampling == "nearest":
+                        total, n, area = values[y % level == 0][:, x % level == 0], None, None
+                        y, x = y[y % level == 0] // level, x[x % level == 0] // level
+                    else:
+                        at = [np.flatnonzero(np.r_[True, np.diff(v // level) > 0]) for v in (y, x)]
+                        cells = lambda a, at=at: np.add.reduceat(np.add.reduceat(a, at[0], axis=0), at[1], axis=1)
+                        total, n, area = cells(np.where(good, values, 0.0)), cells(good.astype(np.int64)), cells(np.ones(values.shape, np.int64))
+                        y, x = y[at[0]] // level, x[at[1]] // level
+                    for by in np.unique(y // h):
+                        for bx in np.unique(x // w):
+                            rs, cs = np.flatnonzero(y // h == by), np.flatnonzero(x // w == bx)
+                            part = np.ix_(rs, cs)
+                            blob = [np.ascontiguousarray(a[part], d).tobytes() if a is not None else b"" for a, d in ((total, np.float64), (n, np.int64), (area, np.int64))]
+                            out.append((k, int(plane), int(by), int(bx), int(y[rs[0]] - by * h), int(x[cs[0]] - bx * w), len(rs), len(cs), *blob))
+            columns = list(zip(*out, strict=True)) or [()] * 11
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] * 8 + [pa.binary()] * 3, strict=True)], names=["level", "plane", "by", "bx", "r", "c", "rows", "cols", "total", "n", "area"])
+
+    def grow(key, parts):
+        k, plane, by, bx = (v.as_py() for v in key)
+        level, small = levels[k], smalls[k]
+        high = h if small.tile else min(h, small.height - by * h)
+        shape = (high, w, spp)
+        total, n, area = np.zeros(shape), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        for row in parts.to_pylist():
+            place = np.s_[row["r"] : row["r"] + row["rows"], row["c"] : row["c"] + row["cols"]]
+            size = (row["rows"], row["cols"], spp)
+            total[place] += np.frombuffer(row["total"]).reshape(size)
+            if resampling == "nearest":
+                n[place] = area[place] = 1
+            else:
+                n[place] += np.frombuffer(row["n"], np.int64).reshape(size)
+                area[place] += np.frombuffer(row["area"], np.int64).reshape(size)
+        rows, cols = min(h, small.height - by * h), min(w, small.width - bx * w)
+        if fill is not None:
+            edge = lambda start, count, most: np.minimum(level, most - (np.arange(count) + start) * level)
+            whole = np.multiply.outer(edge(by * h, rows, spec.height), edge(bx * w, cols, spec.width))[:, :, None] if resampling == "average" else 1
+            lost = whole - area[:rows, :cols]
+            if none is None or fill != none:
+                total[:rows, :cols] += lost * fill
+                n[:rows, :cols] += lost
+        mean = np.where(n > 0, total / np.maximum(n, 1), none if none is not None else 0.0)
+        mean[rows:], mean[:, cols:] = fill or 0, fill or 0
+        block = (plane * small.grid[0] + by) * small.grid[1] + bx
+        return pa.table({"image": pa.array([k + 1], pa.int32()), "block": pa.array([block], pa.int64()), "payload": pa.array([small.encode(write.saturated(mean, kind), order)], pa.binary())})
+
+    parts = tiles.select("block", "rows", "cols", "samples").mapInArrow(shrink, "level int, plane int, by int, bx int, r int, c int, rows int, cols int, total binary, n binary, area binary")
+    return parts.groupBy("level", "plane", "by", "bx").applyInArrow(grow, "image int, block long, payload binary")
+
+
+def write_tiles(
+    tiles: DataFrame, path: str, spec: write.ImageSpec, fmt: str = "tiff", fill: float | None = None, byte_order: str = "little", variant: str = "auto", levels: list[int] | None = None, resampling: str = "nearest", nodata: str | None = None
+) -> None:
+    """One file of tiles (block, rows, cols, samples), with overviews at the levels; with a fill, tiles that never came hold it."""
     tiff.register(tiles.sparkSession)
-    blocks = encode_tiles(tiles, spec, "<" if byte_order == "little" else ">", pad=fill or 0)
-    writer = blocks.write.format(fmt).mode("append").option("spec", tiff.spec_json([spec])).option("byteOrder", byte_order).option("variant", variant)
+    order = "<" if byte_order == "little" else ">"
+    blocks, images = encode_tiles(tiles, spec, order, pad=fill or 0), [spec]
+    if steps := raster.overview_levels(levels or []):
+        images += [replace(spec, width=-(-spec.width // v), height=-(-spec.height // v), reduced=True, tags=()) for v in steps]
+        blocks = blocks.unionByName(overview_tiles(tiles, spec, steps, resampling, nodata, fill, order))
+    writer = blocks.write.format(fmt).mode("append").option("spec", tiff.spec_json(images)).option("byteOrder", byte_order).option("variant", variant)
     (writer.option("fill", fill) if fill is not None else writer).save(path)
 
 

@@ -17,7 +17,7 @@ from rasterloom.plans.tables import PX, WIDTH, q8, query, table
 from rasterloom.sources import codecs, container, lerc, tiff, write
 from rasterloom.sources.bytesource import BytesSource
 from rasterloom.sources.errors import TiffError
-from rasterloom.sources.geotiff import keys_of_epsg
+from rasterloom.sources.geotiff import Crs, crs_of, keys_of_crs, keys_of_epsg
 from rasterloom.storage import shared_folder
 from rasterloom.streaming.tiles import TileIngest
 
@@ -160,6 +160,74 @@ def streaming_tiles_to_file(spark, sf_dir):
     return files.read_pixels(spark, f"{folder}/out.tif", "geotiff").select(F.col("row").cast("long").alias("row"), "col", "value")
 
 
+def _cog_tiles(spark, sf_dir):
+    """The raster as tiles of 64 x 64 in any order, of which some never come, as a file with average overviews."""
+    h = _height(spark, sf_dir)
+    spec = _spec(spark, sf_dir, tags=write.geo_tags(keys_of_epsg(32615), (30, 30), (500000, 4500000), nodata="255"), tile=(64, 64), compression=codecs.ZSTD)
+    cut = q8(spark, sf_dir).select(F.floor(F.col("row") / 64).cast("long").alias("block"), F.struct("row", "samples").alias("r")).where("block % 5 <> 2")
+    tiles = cut.groupBy("block").agg(F.array_sort(F.collect_list("r")).alias("r")).select("block", F.size("r").alias("rows"), F.lit(WIDTH).alias("cols"), F.flatten("r.samples").alias("samples"))
+    path = f"{shared_folder(spark, 'cogtiles')}/q8.tif"
+    assert spec.n_blocks == -(-h // 64)
+    files.write_tiles(tiles, path, spec, "cog", fill=7, levels=[2, 4], resampling="average", nodata="255")
+    return path
+
+
+FILLED = f"SELECT r, c, CASE WHEN r // 64 % 5 = 2 THEN 7 ELSE v END AS v FROM ({PX})"
+
+
+@query(f"SELECT r // {{level}} AS row, CAST(c // {{level}} AS INT) AS col, trunc(coalesce(avg(CASE WHEN v <> 255 THEN v END), 255)) AS value FROM ({FILLED}) GROUP BY ALL", level=(2, 4))
+def tiles_to_cog_overview(spark, sf_dir, level):
+    """Overviews that are made of tiles as they come, those that never came filled."""
+    return files.read_pixels(spark, _cog_tiles(spark, sf_dir), "cog", overview=level // 4).select(F.col("row").cast("long").alias("row"), "col", "value")
+
+
+@query(f"SELECT r AS row, CAST(c // 4 AS INT) AS col, CAST(v AS DOUBLE) AS value FROM ({PX}) WHERE c % 4 = 2")
+def planar_band_read(spark, sf_dir):
+    """One band of a file of separate planes: blocks of the others are never read."""
+    spec = _spec(spark, sf_dir, **KINDS["planar"][0])
+    path = f"{shared_folder(spark, 'planar')}/q8.tif"
+    files.write_file(q8(spark, sf_dir), path, spec)
+    found = tiff.register(spark).read.format("tiff").option("table", "blocks").option("payload", "false").option("band", 2).load(path)
+    if found.where("plane <> 2").count() or found.count() * 4 != spec.n_blocks:
+        raise TiffError("blocks of other planes were read")
+    return files.read_pixels(spark, path, band=2).select(F.col("row").cast("long").alias("row"), "col", "value")
+
+
+@query(f"SELECT r AS row, CAST(c AS INT) AS col, CAST(255 - v AS DOUBLE) AS value FROM ({PX}) WHERE r >= 10 AND r < 90 AND c >= 3 AND c < 50")
+def decoded_window_read(spark, sf_dir):
+    """A window of a white-is-zero file, decoded to black-is-zero."""
+    path = f"{shared_folder(spark, 'decoded')}/q8.tif"
+    files.write_file(q8(spark, sf_dir), path, _spec(spark, sf_dir, photometric=container.WHITE_IS_ZERO))
+    return files.read_pixels(spark, path, decoded="true", window="10,3,80,47").select(F.col("row").cast("long").alias("row"), "col", "value")
+
+
+@query(f"SELECT CAST(n AS BIGINT) AS n_bytes, md5 FROM (SELECT count(*) AS n, md5(string_agg(lpad(hex(CAST(v AS UTINYINT)), 2, '0'), '' ORDER BY r, c)) AS md5 FROM (SELECT r, c, v FROM ({PX}) WHERE r >= 5 AND r < 45 AND c >= 8 AND c < 40))")
+def window_bytes_read(spark, sf_dir):
+    """A window whole, as bytes."""
+    path = f"{shared_folder(spark, 'bytes')}/q8.tif"
+    files.write_file(q8(spark, sf_dir), path, _spec(spark, sf_dir))
+    return files.window_bytes(spark, path, window="5,8,40,32").select(F.octet_length("bytes").cast("long").alias("n_bytes"), F.md5(F.hex("bytes").cast("binary")).alias("md5"))
+
+
+@query("SELECT 32616 AS projected, 5703 AS vertical, 9001 AS linear_units, 9102 AS angular_units, 6269 AS geodetic_datum, 5103 AS vertical_datum, 9001 AS vertical_units, 'up' AS vertical_citation, 'compound' AS kind")
+def crs_fields_roundtrip(spark, sf_dir):
+    """Units, datums and citations of a compound system, through a file's keys and back."""
+    crs = Crs(1, 1, "compound", 32616, None, 5703, "both", vertical_citation="up", geodetic_datum=6269, angular_units=9102, linear_units=9001, vertical_datum=5103, vertical_units=9001)
+    path = f"{shared_folder(spark, 'crs')}/q8.tif"
+    files.write_file(q8(spark, sf_dir), path, _spec(spark, sf_dir, tags=write.geo_tags(keys_of_crs(crs), (1, 1), (0, 0))), fmt="geotiff")
+    names = ["projected", "vertical", "linear_units", "angular_units", "geodetic_datum", "vertical_datum", "vertical_units", "vertical_citation", "kind"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                found = crs_of(container.Tiff(BytesSource(content.as_py())).geo.keys)
+                yield pa.RecordBatch.from_pylist([{n: getattr(found, n) for n in names}])
+
+    types = ", ".join(f"{n} {'string' if n in ('vertical_citation', 'kind') else 'long'}" for n in names)
+    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, types)
+    return found.select(*(F.col(n).cast("int").alias(n) if n not in ("vertical_citation", "kind") else n for n in names))
+
+
 CODE_ROWS = ", ".join(f"('{k}', {n}, '{name}')" for k, t in codes.CODES.items() for n, name in t.items())
 
 

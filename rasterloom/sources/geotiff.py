@@ -15,6 +15,8 @@ PROJECTED_CRS, PROJECTED_CITATION, LINEAR_UNITS = 3072, 3073, 3076
 VERTICAL_CRS, VERTICAL_CITATION, VERTICAL_DATUM, VERTICAL_UNITS = 4096, 4097, 4098, 4099
 HORIZONTAL = (GEODETIC_CRS, GEODETIC_CITATION, GEODETIC_DATUM, ANGULAR_UNITS, PROJECTED_CRS, PROJECTED_CITATION, LINEAR_UNITS)
 VERTICAL = (VERTICAL_CRS, VERTICAL_CITATION, VERTICAL_DATUM, VERTICAL_UNITS)
+SIDE_CITATIONS = {"projected_citation": PROJECTED_CITATION, "geodetic_citation": GEODETIC_CITATION, "vertical_citation": VERTICAL_CITATION}
+SIDE_CODES = {"geodetic_datum": GEODETIC_DATUM, "angular_units": ANGULAR_UNITS, "linear_units": LINEAR_UNITS, "vertical_datum": VERTICAL_DATUM, "vertical_units": VERTICAL_UNITS}
 
 Keys = dict[int, "int | list[float] | str"]
 
@@ -88,6 +90,24 @@ class Crs:
     geodetic: int | None
     vertical: int | None
     citation: str | None
+    projected_citation: str | None = None
+    geodetic_citation: str | None = None
+    vertical_citation: str | None = None
+    geodetic_datum: int | None = None
+    angular_units: int | None = None
+    linear_units: int | None = None
+    vertical_datum: int | None = None
+    vertical_units: int | None = None
+
+    @property
+    def geographic(self) -> int | None:
+        """The code of a geographic system."""
+        return self.geodetic if self.model == 2 else None
+
+    @property
+    def geocentric(self) -> int | None:
+        """The code of a geocentric system."""
+        return self.geodetic if self.model == 3 else None
 
     @property
     def epsg(self) -> int | None:
@@ -101,7 +121,9 @@ def crs_of(keys: Keys) -> Crs:
     horizontal, vertical = model != 0 or any(k in keys for k in HORIZONTAL), any(k in keys for k in VERTICAL)
     kind = "compound" if horizontal and vertical else "horizontal" if horizontal else "vertical" if vertical else "unspecified"
     text = next((keys[k] for k in (PROJECTED_CITATION, GEODETIC_CITATION, CITATION, VERTICAL_CITATION) if isinstance(keys.get(k), str)), None)
-    return Crs(model, short(RASTER_TYPE) or 1, kind, short(PROJECTED_CRS), short(GEODETIC_CRS), short(VERTICAL_CRS), text)
+    said = {n: keys[k] for n, k in SIDE_CITATIONS.items() if isinstance(keys.get(k), str)}
+    coded = {n: short(k) for n, k in SIDE_CODES.items()}
+    return Crs(model, short(RASTER_TYPE) or 1, kind, short(PROJECTED_CRS), short(GEODETIC_CRS), short(VERTICAL_CRS), text, **said, **coded)
 
 
 def keys_of_epsg(code: int, model: int | None = None) -> Keys:
@@ -119,6 +141,10 @@ def keys_of_crs(crs: Crs, keys: Keys | None = None) -> Keys:
     if crs.kind in ("horizontal", "unspecified"):
         for k in VERTICAL:
             out.pop(k, None)
+    horizontal, vertical = crs.kind in ("horizontal", "compound"), crs.kind in ("vertical", "compound")
+    for name, k in {**SIDE_CITATIONS, **SIDE_CODES}.items():
+        if (value := getattr(crs, name)) is not None and (vertical if k in VERTICAL else horizontal):
+            out[k] = value
     for k, v in ((MODEL_TYPE, crs.model or None), (RASTER_TYPE, crs.raster_type), (PROJECTED_CRS, crs.projected), (GEODETIC_CRS, crs.geodetic), (VERTICAL_CRS, crs.vertical), (CITATION, crs.citation)):
         if v is not None:
             out[k] = v

@@ -3,13 +3,14 @@
     register(spark)
     spark.read.format("tiff").option("table", "pixels").option("window", "0,0,512,512").load("scenes/")
 
-Reading, a partition is some small files, or a run of blocks of about `partitionBytes` decoded bytes of a file larger
-than that. The window, band and image come as options, or from filters on row, col, band and ifd where Spark pushes
-them down; blocks outside never leave the disk. Small files are never opened on the
-driver.
+Reading, a partition is some small files, or a share of the wanted blocks of a file that is larger than `partitionBytes`
+when decoded, as its size suggests. No file is opened to plan: each task of a large file reads its directories and takes
+its own share of the blocks, whatever the number of files. The window, band and image come as options, or from filters
+on row, col, band and ifd where Spark pushes them down; blocks outside never leave the disk.
 
 Writing, rows are (image, block, payload). Each task appends its payloads to a part beside the file; the commit lays out
-the directories by the blocks' sizes and copies the parts' payloads in order.
+the directories by the blocks' sizes and puts the parts' payloads in order: on a local or mounted file system by copies
+within it, several at once, else by one stream through the driver.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
@@ -47,8 +50,16 @@ SCHEMAS = {
     "samples": "path STRING, ifd_index INT, block_index INT, band INT, row INT, col INT, rows INT, cols INT, bands INT, dtype STRING, samples BINARY",
     "pixels": "path STRING, ifd_index INT, row INT, col INT, band INT, value DOUBLE",
 }
-#: Large files up to which the driver opens them to cut partitions within them; more go whole, one to a partition.
-MOST_PLANNED = 256
+#: Decoded bytes that a byte of a file is taken for, and partitions that there are at least, if there are as many files.
+EXPANSION, LEAST_PARTS = 8, 16
+#: Partitions of a read at most, about: beyond, each is larger than partitionBytes.
+MOST_PARTS = 20_000
+#: Bytes that a pixel of a window is taken for.
+WIDEST = 32
+#: Copies at once of a commit, and of questions for the sizes of URLs.
+COPIES, ASKING = 8, 32
+#: Bytes of a copy.
+STEP = 64 << 20
 #: Decoded bytes of a batch of blocks.
 BATCH_BYTES = 4 << 20
 
@@ -89,11 +100,10 @@ class Ask:
 
 @dataclass
 class Part(InputPartition):
-    """Files, or some blocks of one image of a file."""
+    """Files, or the k-th of n shares of the blocks of one."""
 
     paths: list[str]
-    ifd_offset: int | None = None
-    blocks: list[int] | None = None
+    share: tuple[int, int] = (0, 1)
 
 
 def chosen(tiff: container.Tiff, ask: Ask) -> list[container.Ifd]:
@@ -234,20 +244,17 @@ def arrow_schema(table: str) -> pa.Schema:
     return pa.schema([pa.field(n, _arrow_type(t)) for n, t in (f.split(" ", 1) for f in _fields(SCHEMAS[table]))])
 
 
-def file_batches(path: str, tiff: container.Tiff, ask: Ask, ifd_offset: int | None = None, only: list[int] | None = None) -> Iterator[pa.RecordBatch]:
-    """All that is asked of one open file, or of some blocks of one of its images."""
+def file_batches(path: str, tiff: container.Tiff, ask: Ask, share: tuple[int, int] = (0, 1)) -> Iterator[pa.RecordBatch]:
+    """All that is asked of one open file, or of the k-th of n shares of its blocks."""
     if ask.table == "images":
         yield pa.RecordBatch.from_pylist([_whole(r) for r in image_rows(path, tiff, ask)], schema=arrow_schema("images"))
         return
     if ask.geo and geo_or_none(tiff) is None:
         raise NotGeoTiff(f"{path} has no GeoKeys")
     for ifd in chosen(tiff, ask):
-        if ifd_offset is not None and ifd.offset != ifd_offset:
-            continue
         window, blocks = wanted(ifd, ask)
-        if only is not None:
-            keep = set(only)
-            blocks = [b for b in blocks if b.index in keep]
+        k, n = share
+        blocks = blocks[len(blocks) * k // n : len(blocks) * (k + 1) // n]
         if ask.table == "samples":
             schema = arrow_schema("samples")
             made = lambda rows: pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -278,8 +285,6 @@ def _whole(row: dict) -> dict:
 
 def listed(path: str) -> list[tuple[str, int | None]]:
     """The files of a path, a folder, a glob pattern, or a comma-separated list of these, with their sizes if known."""
-    from pyarrow import fs
-
     out = []
     for p in re.split(r",(?=[^,]*[/\w])", path):
         if re.match(r"https?://", p):
@@ -314,37 +319,41 @@ class TiffReader(DataSourceReader):
             return []
         if ask.table == "images":
             return [Part([f for f, _ in files[k : k + self.files]]) for k in range(0, len(files), self.files)]
-        # Small files go whole, some to a partition; only large ones are opened here, to be cut at their blocks.
-        large = [f for f, size in files if size is None or size > self.bytes]
-        if len(large) > MOST_PLANNED:
-            large = []
+        if any(size is None for _, size in files):
+            with ThreadPoolExecutor(ASKING) as pool:  # a HEAD each
+                files = list(pool.map(lambda f: (f[0], self._size(f[0]) if f[1] is None else f[1]), files))
+        most = max(1, len(files) // LEAST_PARTS)
+        each = max(self.bytes, sum(self._decoded(size) for _, size in files) // MOST_PARTS)
         parts, group, held = [], [], 0
         for f, size in files:
-            if f in large:
+            shares = -(-self._decoded(size) // each)
+            if shares > 1:
+                parts += [Part([f], (k, shares)) for k in range(shares)]
                 continue
             group.append(f)
-            held += size or 0
-            if held * 8 >= self.bytes:
+            held += size
+            if held * EXPANSION >= each or len(group) >= min(most, self.files):
                 parts.append(Part(group))
                 group, held = [], 0
-        if group:
-            parts.append(Part(group))
-        for f in large:
-            tiff = container.Tiff(open_source(f, ask.chunk, ask.cache))
-            for ifd in chosen(tiff, ask):
-                _, blocks = wanted(ifd, ask)
-                if not blocks:
-                    continue
-                each = max(1, blocks[0].block_h * blocks[0].block_w * ifd.layout().block_spp * ifd.layout().dtype.itemsize)
-                run = max(1, self.bytes // each)
-                parts += [Part([f], ifd.offset, [b.index for b in blocks[k : k + run]]) for k in range(0, len(blocks), run)]
-        return parts
+        return [*parts, Part(group)] if group else parts
+
+    def _size(self, url: str) -> int:
+        """What a URL says; one that says nothing goes whole."""
+        try:
+            return open_source(url, self.ask.chunk, 0).size
+        except (OSError, TiffError):
+            return self.bytes // EXPANSION
+
+    def _decoded(self, size: int) -> int:
+        """About how many bytes a file gives: by its size, or by the window if that is smaller."""
+        decoded = size * EXPANSION
+        return decoded if self.ask.window is None else min(decoded, self.ask.window[2] * self.ask.window[3] * WIDEST)
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         if not isinstance(partition, Part):
             return
         for f in partition.paths:
-            yield from file_batches(f, container.Tiff(open_source(f, self.ask.chunk, self.ask.cache)), self.ask, partition.ifd_offset, partition.blocks)
+            yield from file_batches(f, container.Tiff(open_source(f, self.ask.chunk, self.ask.cache)), self.ask, partition.share)
 
 
 class PushingTiffReader(TiffReader):
@@ -385,8 +394,6 @@ def specs_of(text: str) -> list[write.ImageSpec]:
 
 
 def _store(path: str):
-    from pyarrow import fs
-
     return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:/", path) else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
@@ -398,11 +405,12 @@ class TiffWriter(DataSourceArrowWriter):
         self.path, self.images = path, specs_of(o["spec"])
         self.cog, self.order, self.variant = o.get("cog", "false") == "true", "<" if o.get("byteorder", "little") == "little" else ">", o.get("variant", "auto")
         self.fill = float(o["fill"]) if "fill" in o else None
+        self.job = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         where, inner = _store(self.path)
         where.create_dir(os.path.dirname(inner), recursive=True)
-        part, blocks, at = f"{os.path.dirname(inner)}/.{os.path.basename(inner)}.{uuid.uuid4().hex}", [], 0
+        part, blocks, at = f"{self._parts(inner)}{uuid.uuid4().hex}", [], 0
         with where.open_output_stream(part) as out:
             for batch in iterator:
                 for image, block, payload in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("image", "block", "payload")), strict=True):
@@ -411,9 +419,18 @@ class TiffWriter(DataSourceArrowWriter):
                     at += len(payload)
         return Written(part, blocks)
 
+    def _parts(self, inner: str) -> str:
+        """What the names of this job's parts begin with."""
+        return f"{os.path.dirname(inner)}/.{os.path.basename(inner)}.{self.job}."
+
     def commit(self, messages: list[Written | None]) -> None:
         where, inner = _store(self.path)
-        found = {(i, b): (m.part, at, n) for m in messages if m for i, b, at, n in m.blocks}
+        found: dict[tuple[int, int], tuple[str, int, int]] = {}
+        for m in messages:
+            for image, block, at, n in m.blocks if m else ():
+                if (image, block) in found:
+                    raise write.WriteConfig(f"block {block} of image {image} was written twice")
+                found[image, block] = (m.part, at, n)
         filler: dict[int, bytes] = {}
         sizes = []
         for k, spec in enumerate(self.images):
@@ -424,29 +441,98 @@ class TiffWriter(DataSourceArrowWriter):
                 filler[k] = spec.encode(np.full((*spec.block, spec.block_spp), self.fill).astype(spec.sample), self.order)
             sizes.append(write.Sizes(spec, [found[k, b][2] if (k, b) in found else len(filler[k]) for b in range(spec.n_blocks)]))
         head, tail, order, _ = write.layout(sizes, self.cog, self.order, self.variant)
-        open_parts: dict = {}
-        with where.open_output_stream(f"{inner}.part") as out:
-            out.write(head)
-            for k, b in order:
-                if (k, b) in found:
-                    part, at, n = found[k, b]
-                    if part not in open_parts:
-                        open_parts[part] = where.open_input_file(part)
-                    payload = open_parts[part].read_at(n, at)
-                else:
-                    payload = filler[k]
-                out.write(write.wrapped(payload, self.order) if self.cog else payload)
-            out.write(tail)
-        for f in open_parts.values():
-            f.close()
+        pieces = self._pieces(head, tail, order, found, filler)
+        if isinstance(where, fs.LocalFileSystem):
+            self._place(f"{inner}.part", pieces)
+        else:
+            self._stream(where, f"{inner}.part", pieces)
         where.move(f"{inner}.part", inner)
         self.abort(messages)
 
-    def abort(self, messages: list[Written | None]) -> None:
+    def _pieces(self, head: bytes, tail: bytes, order: list, found: dict, filler: dict[int, bytes]) -> Iterator[bytes | tuple[str, int, int]]:
+        """The file in order: bytes, or (part, offset, length); payloads that lie side by side in a part are one."""
+        held, last = bytearray(head), None
+        for k, b in order:
+            part, at, n = found.get((k, b), (None, 0, len(filler.get(k, b""))))
+            if self.cog:
+                held += write.struct.pack(self.order + "I", n)
+            if part is None:
+                held += filler[k]
+                end = filler[k][-4:]
+            elif not held and last and (last[0], last[1] + last[2]) == (part, at):
+                last = (part, last[1], last[2] + n)
+            else:
+                yield from (last,) if last else ()
+                yield from (bytes(held),) if held else ()
+                held, last = bytearray(), (part, at, n)
+            if part is not None and self.cog:
+                end = self._end(part, at, n)
+            if (self.cog or part is None) and last:
+                yield last
+                last = None
+            if self.cog:
+                held += end
+        yield from (last,) if last else ()
+        yield bytes(held) + tail
+
+    def _end(self, part: str, at: int, n: int) -> bytes:
         where, _ = _store(self.path)
-        for m in messages:
-            if m:
-                where.delete_file(m.part)
+        with where.open_input_file(part) as f:
+            return f.read_at(min(4, n), at + n - min(4, n))
+
+    def _place(self, path: str, pieces: Iterator) -> None:
+        """Copies within the file system, several at once; payloads don't pass through this process where it can avoid them."""
+        jobs, at = [], 0
+        with open(path, "wb") as out:
+            target = out.fileno()
+            for piece in pieces:
+                if isinstance(piece, bytes):
+                    os.pwrite(target, piece, at)
+                    at += len(piece)
+                else:
+                    jobs.append((*piece, at))
+                    at += piece[2]
+            os.truncate(target, at)
+            with ThreadPoolExecutor(COPIES) as pool:
+                list(pool.map(lambda job: _copy(*job, target), jobs))
+
+    def _stream(self, where, path: str, pieces: Iterator) -> None:
+        opened: dict = {}
+        with where.open_output_stream(path) as out:
+            for piece in pieces:
+                if isinstance(piece, bytes):
+                    out.write(piece)
+                    continue
+                part, at, n = piece
+                if part not in opened:
+                    opened[part] = where.open_input_file(part)
+                for lo in range(0, n, STEP):
+                    out.write(opened[part].read_at(min(STEP, n - lo), at + lo))
+        for f in opened.values():
+            f.close()
+
+    def abort(self, messages: list[Written | None]) -> None:
+        """Deletes the job's parts, those of attempts that failed as well."""
+        where, inner = _store(self.path)
+        begin = self._parts(inner)
+        for info in where.get_file_info(fs.FileSelector(os.path.dirname(inner), allow_not_found=True)):
+            if os.path.basename(info.path).startswith(os.path.basename(begin)):
+                where.delete_file(info.path)
+
+
+def _copy(part: str, start: int, length: int, at: int, target: int) -> None:
+    source = os.open(part, os.O_RDONLY)
+    try:
+        while length:
+            try:
+                done = os.copy_file_range(source, target, min(length, STEP), start, at)
+            except OSError:  # not on this file system
+                done = os.pwrite(target, os.pread(source, min(length, STEP), start), at)
+            if not done:
+                raise IncompleteImage(f"{part} ends early")
+            start, at, length = start + done, at + done, length - done
+    finally:
+        os.close(source)
 
 
 class TiffSource(DataSource):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
@@ -27,10 +28,8 @@ class TiffPixels:
         image = tiff.ifds[ifd]
         for b in image.blocks():
             data = tiff.decode(image, b)
-            for r in range(data.shape[0]):
-                for c in range(data.shape[1]):
-                    for k in range(data.shape[2]):
-                        yield b.y + r, b.x + c, b.plane + k, float(data[r, c, k])
+            places = np.indices(data.shape).reshape(3, -1) + np.array([[b.y], [b.x], [b.plane]])
+            yield from zip(*places.tolist(), data.astype(np.float64).ravel().tolist(), strict=True)
 
 
 def register(spark: SparkSession) -> None:
