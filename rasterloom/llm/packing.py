@@ -43,8 +43,8 @@ WASTE, SPARE = 1e-3, 1e-3
 RATE, MOMENTUM = 0.6, 0.5
 #: Sequences' tokens in a run of `pack_in_order`: a share of all sequences, within these bounds.
 RUN_SHARE, LEAST_RUN, MOST_RUN = 1 / 32, 16, 256
-#: Runs between blanks whose ids a worker keeps, some 200 bytes each.
-CACHE_WORDS = 1_500_000
+#: Runs between blanks whose ids a worker keeps, some 200 bytes each: half of them those of late, half those before.
+CACHE_RUNS = 400_000
 #: Words of Latin-1 texts as the tokenizer splits them, after lower-casing.
 LATIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµº\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-z0-9ªµº²³¹¼½¾\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
@@ -60,8 +60,9 @@ def default_tokenizer() -> str:
 
 
 @functools.cache
-def word_ids(path: str) -> dict[str, bytes]:
-    return {}
+def run_ids(path: str) -> list[dict[str, bytes]]:
+    """The ids of runs, those of late and those before."""
+    return [{}, {}]
 
 
 @functools.cache
@@ -91,7 +92,8 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     each distinct run between blanks are kept; the tokenizer gives a word the same ids wherever it stands. Other texts,
     and those with a special token's opening or a separator that only one of the two splits at, go to it whole.
     """
-    known = word_ids(path)
+    caches = run_ids(path)
+    known, before = caches
     out: list = [None] * len(texts)
     split: list[tuple[int, list[str]]] = []
     new: set[str] = set()
@@ -111,10 +113,9 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         else:
             out[i] = b"".join(ids)
     if new:
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = {r for _, runs in split for r in runs}
-        inner = {r: LATIN_WORD.findall(r) for r in new}
+        again = new & before.keys()
+        known.update((r, before[r]) for r in again)
+        inner = {r: LATIN_WORD.findall(r) for r in new - again}
         words = list({w for ws in inner.values() for w in ws})
         of: dict[str, bytes] = {}
         for at in range(0, len(words), 2000):
@@ -122,6 +123,8 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         known.update((r, b"".join([of[w] for w in ws])) for r, ws in inner.items())
     for i, runs in split:
         out[i] = b"".join(map(known.__getitem__, runs))
+    if len(known) > CACHE_RUNS // 2:
+        caches[:] = [{}, known]
     return out
 
 
@@ -420,7 +423,7 @@ def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
     def place(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("at", ignore_index=True)
         length = f.length.to_numpy(np.int64)
-        rows = _lookup(plan(np.bincount(length, minlength=capacity + 1), capacity, rounds=40).runs)
+        rows = _lookup(plan(np.bincount(length, minlength=capacity + 1), capacity, rounds=10).runs)
         rank = f.groupby("length").cumcount().to_numpy(np.int64)
         row = rows[np.searchsorted(rows[:, 0] << 48 | rows[:, 1], length << 48 | rank, side="right") - 1]
         nth = rank - row[:, 1]

@@ -148,9 +148,9 @@ WIDE = 8
 #: Standard errors by which a candidate's bits and tally may miss what its similarity leads to expect.
 MAY_ERRORS = 3.0
 #: Candidates by chance that a text may have, from which on combinations are longer.
-BY_CHANCE = 1000
+BY_CHANCE = 2
 #: Combinations of so many positional bytes: how many there are, and under how many of these a text is posted.
-POSTED = {2: (1200, 88), 3: (600, 270)}
+POSTED = {2: (1200, 88), 3: (600, 230)}
 #: Ids of documents, up to which they are broadcast, 32 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
