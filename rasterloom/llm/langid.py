@@ -4,8 +4,9 @@ Each language is a multinomial over hashed character n-grams. A text is a run of
 one of the text's languages; expectation-maximisation finds the proportions that make the units likeliest, for the
 one, two, ... languages of the largest shares, and the set of the best penalised likelihood is kept.
 
-The model is fitted on a bounded sample of labelled rows (`per_language` texts of each language, of `most_chars`
-characters at most). A text that is null or has no letter is `und` with score 0. With no labelled rows at all, every
+Every language of the labels is learned, and a text's set may hold any number of them. The model is fitted on a bounded
+sample of labelled rows: about `per_language` texts of each language, of longer ones a stretch of `most_chars` characters.
+Texts are read whole, however long. A text that is null or has no letter is `und` with score 0. With no labelled rows at all, every
 text is `und`. A null doc_id is kept. Repeated rows come back as often as they came; an empty table gives no rows;
 extra columns don't matter.
 """
@@ -30,8 +31,6 @@ BUCKETS = 1 << 16
 UNIT = 8
 #: Rounds of expectation-maximisation.
 ROUNDS = 8
-#: Languages that a text's set is chosen from.
-MOST = 5
 #: What each further language costs, times the logarithm of the number of units.
 PENALTY = 1.5
 VOCABULARY = 300_000
@@ -78,14 +77,17 @@ def mixtures(units: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     free, _ = em(np.ones((n, k)))
     place = np.argsort(np.argsort(-free, axis=1, kind="stable"), axis=1, kind="stable")
     best, value, chosen = None, None, None
-    for m in range(1, min(k, MOST) + 1):
+    for m in range(1, k + 1):
         share, likelihood = em((place < m).astype(float))
         now = likelihood - PENALTY * (m - 1) * np.log(sizes + 1.0) * UNIT
         if best is None:
             best, value, chosen = share, now, np.ones(n, int)
-        else:
-            better = now > value
-            best[better], value[better], chosen[better] = share[better], now[better], m
+            continue
+        better = now > value
+        best[better], value[better], chosen[better] = share[better], now[better], m
+        # No more languages can pay for what they cost, even if every unit were in its likeliest one.
+        if not (offset - PENALTY * m * np.log(sizes + 1.0) * UNIT > value).any():
+            break
     return best, chosen
 
 

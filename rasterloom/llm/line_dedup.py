@@ -2,8 +2,9 @@
 
 A line is what stands between line feeds, without the blanks around it; blank lines are never boilerplate. For each
 host, the pages that hold a line (once or more) are divided by all pages of the host. Lines above the ratio go, on
-every page of that host, when at least `min_pages` pages hold them. A page most of whose characters would go is a copy
-of other pages rather than a page with boilerplate; it stays whole, for a near-duplicate operator to judge.
+every page of that host; a line that only one page holds is no one's boilerplate, however few the pages (`min_pages`).
+With `spare`, a page of which nothing but blanks would be left stays whole, for a near-duplicate operator to judge; by
+default the ratio alone decides.
 
 Hashes of distinct lines are counted, with partial sums before the shuffle, so a hot host or line costs no task more
 than a row per line. What comes back to the pages is each host's list of boilerplate, no longer than the mean number
@@ -23,8 +24,7 @@ from rasterloom.llm.common import fresh, let, materialize
 from rasterloom.llm.quality import BLANKS
 
 MAX_RATIO = 0.02
-MIN_PAGES = 5
-MOST_LOST = 0.5
+MIN_PAGES = 2
 #: Boilerplate lines of all hosts together, up to which their lists are broadcast: 8 bytes each.
 BROADCAST_LINES = 100_000
 
@@ -48,7 +48,7 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float =
     return holding.join(totals, "host").select("host", "key", (F.col("holding") / F.col("pages")).alias("ratio")).where(F.col("ratio") > max_ratio)
 
 
-def marked(pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, most_lost: float = MOST_LOST) -> tuple[DataFrame, str]:
+def marked(pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, spare: bool = False) -> tuple[DataFrame, str]:
     """pages with one more column, a struct (text, n_lines, n_dropped), and that column's name."""
     lines = boilerplate(pages, host, text, max_ratio, min_pages)
     name, key, bad = (fresh(n, pages) for n in ("deduplicated", "site_key", "site_lines"))
@@ -61,8 +61,9 @@ def marked(pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_
         return let(kept, lambda rest: outcome(parts, rest))
 
     def outcome(parts: Column, rest: Column) -> Column:
-        left = F.length(F.array_join(rest, ""))
-        stays = (F.size(rest) == F.size(parts)) | (left < (1 - most_lost) * F.length(F.array_join(parts, "")))
+        stays = F.size(rest) == F.size(parts)
+        if spare:
+            stays |= F.btrim(F.array_join(rest, ""), F.expr(BLANKS)) == ""
         return F.struct(F.when(stays, text).otherwise(F.array_join(rest, "\n")).alias("text"), F.size(parts).alias("n_lines"), F.when(stays, F.lit(0)).otherwise(F.size(parts) - F.size(rest)).alias("n_dropped"))
 
     untouched = F.struct(text.alias("text"), F.size(F.split(F.coalesce(text, F.lit("")), "\n")).alias("n_lines"), F.lit(0).alias("n_dropped"))
@@ -70,40 +71,43 @@ def marked(pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_
     return joined.withColumn(name, found).select(*pages.columns, name), name
 
 
+def _lines(pages: DataFrame, key: str, host: Column, text: Column) -> DataFrame:
+    found, name = marked(pages, host, text)
+    x = F.col(name)
+    return found.select(key, x["n_lines"].cast("long").alias("n_lines"), x["n_dropped"].cast("long").alias("n_dropped"), F.length(x["text"]).cast("long").alias("n_chars"), F.md5(x["text"]).alias("text_md5"))
+
+
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the digest and length of what is left; a document's site is its source."""
-    found, name = marked(docs.select("doc_id", "source", "text"), F.col("source"), F.col("text"))
-    left = F.col(name)["text"]
-    return found.select("doc_id", F.col(name)["n_lines"].cast("long").alias("n_lines"), F.col(name)["n_dropped"].cast("long").alias("n_dropped"), F.length(left).cast("long").alias("n_chars"), F.md5(left).alias("text_md5"))
+    return _lines(docs.select("doc_id", "source", "text"), "doc_id", F.col("source"), F.col("text"))
+
+
+def pages_query(pages: DataFrame) -> DataFrame:
+    """The same of web pages (page_id, url, html), by the hosts of their URLs."""
+    return _lines(pages.select("page_id", "url", "html"), "page_id", host_of_url(F.col("url")), F.col("html"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs with what is left of their texts, and n_chars of that if they have it."""
-    found, name = marked(docs, F.col("source"), F.col("text"))
+    """docs with what is left of their texts, and n_chars of that if they have it; those of which nothing would be left stay."""
+    found, name = marked(docs, F.col("source"), F.col("text"), spare=True)
     left = F.col(name)["text"]
     columns = {"text": left, "n_chars": F.length(left).cast("long")}
     return found.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
 
 
-ORACLE = f"""
-WITH lines AS (
-  SELECT doc_id, source, i, l, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-), totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+_ORACLE = f"""
+WITH given AS ({{given}}), lines AS (
+  SELECT id, host, i, l, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+  FROM (SELECT id, host, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM given)
+), totals AS (SELECT host, count(*) AS pages FROM given GROUP BY host),
 bad AS (
-  SELECT l.source, l.k FROM lines l JOIN totals t ON l.source = t.source WHERE l.k <> ''
-  GROUP BY l.source, l.k, t.pages HAVING count(DISTINCT doc_id) >= {MIN_PAGES} AND count(DISTINCT doc_id) / t.pages > {MAX_RATIO}
-), flagged AS (
-  SELECT l.*, b.k IS NOT NULL AS gone FROM lines l LEFT JOIN bad b ON l.source = b.source AND l.k = b.k
+  SELECT l.host, l.k FROM lines l JOIN totals t ON l.host = t.host WHERE l.k <> ''
+  GROUP BY l.host, l.k, t.pages HAVING count(DISTINCT id) >= {MIN_PAGES} AND count(DISTINCT id) / t.pages > {MAX_RATIO}
 ), made AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone, sum(length(l)) AS all_chars,
-    coalesce(sum(length(l)) FILTER (NOT gone), 0) AS left_chars, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '') AS rest
-  FROM flagged GROUP BY doc_id
-), chosen AS (
-  SELECT m.doc_id, n_lines, n_gone, m.n_gone = 0 OR left_chars < {1 - MOST_LOST} * all_chars AS stays, d.text, rest
-  FROM made m JOIN documents d ON m.doc_id = d.doc_id
+  SELECT id, count(*) AS n_lines, count(*) FILTER (b.k IS NOT NULL) AS n_dropped, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (b.k IS NULL), '') AS text
+  FROM lines l LEFT JOIN bad b ON l.host = b.host AND l.k = b.k GROUP BY id
 )
-SELECT doc_id, n_lines, CASE WHEN stays THEN 0 ELSE n_gone END AS n_dropped,
-  length(CASE WHEN stays THEN text ELSE rest END) AS n_chars, md5(CASE WHEN stays THEN text ELSE rest END) AS text_md5
-FROM chosen
+SELECT id AS {{key}}, n_lines, n_dropped, length(text) AS n_chars, md5(text) AS text_md5 FROM made
 """
+ORACLE = _ORACLE.format(given="SELECT doc_id AS id, source AS host, text FROM documents", key="doc_id")
+PAGES_ORACLE = _ORACLE.format(given="SELECT page_id AS id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host, html AS text FROM pages", key="page_id")

@@ -5,8 +5,8 @@ owes a block per 1/w slots: its i-th block, from 0, is released at slot floor(i
 Each slot goes to the released block of the earliest deadline. As the weights sum to one, every block meets its window,
 so that after any number of slots each source is less than one block from its share.
 
-Weights are whole numbers, so the schedule repeats after as many slots as they sum to; one period is worked out by an
-aggregate expression over its slots and a document's slot follows from its block number by a join with that small
+Weights are whole numbers, so the schedule repeats after as many slots as they sum to, which grows with the number of
+sources; one period is worked out by an aggregate expression over its slots (of many sources by a heap) and a document's slot follows from its block number by a join with that small
 table. Ranks within a source come from bucket sizes, never from one task a source. No document is left out: when a
 source runs out its slots stay empty, and the others go on in their proportions.
 
@@ -16,30 +16,52 @@ source, text and then by chance: their slots are defined as a set. An empty tabl
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import fresh, materialize, ranked
 
 BLOCK_DOCS = 16
-#: What quantised weights sum to, about; the length of a period of the schedule.
-PERIOD = 1000
-#: Sources that a schedule is worked out for; a period takes time in proportion to their number times its length.
-MOST_SOURCES = 4096
+#: What quantised weights sum to, about: the length of a period of the schedule; and how many of it there are a source at least.
+PERIOD, PER_SOURCE = 1000, 16
+#: Sources up to which a schedule is worked out by an expression, in time their number times the period's length; more by a heap.
+MOST_SOURCES = 256
+#: Slots of a period up to which sources are joined with them by a broadcast, some 40 bytes each.
+BROADCAST_SLOTS = 200_000
 
 
 def targets(counts: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source, weight): the square roots of the sources' document counts, in whole numbers that sum to about period."""
+    """(source, weight): the square roots of the sources' document counts, in whole numbers that sum to about a period."""
     roots = counts.select("source", F.sqrt(F.col("docs").cast("double")).alias("root"))
     total = roots.agg(F.round(F.sum("root"), 6).alias("all_roots"))
-    return roots.withColumn("all_roots", total.scalar()).select("source", F.greatest(F.lit(1), F.floor(period * F.col("root") / F.col("all_roots"))).cast("long").alias("weight"))
+    length = roots.agg(F.greatest(F.lit(period), PER_SOURCE * F.count(F.lit(1))).alias("length"))
+    share = F.col("root") / F.col("all_roots")
+    return roots.withColumn("all_roots", total.scalar()).withColumn("length", length.scalar()).select("source", F.greatest(F.lit(1), F.floor(F.col("length") * share)).cast("long").alias("weight"))
+
+
+def pattern_by_heap(weights: DataFrame) -> DataFrame:
+    """What `pattern` gives, of any number of sources: the driver holds a row a source and a row a slot of one period."""
+    sources = [(s, w) for s, w in weights.orderBy("source").collect() if w > 0]
+    d = sum(w for _, w in sources)
+    waiting, ready, rows = [(0, i, 0) for i in range(len(sources))], [], []
+    for t in range(d):
+        while waiting and waiting[0][0] <= t:
+            _, i, n = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(n + 1) * d // sources[i][1]), i, n))
+        due, i, n = heapq.heappop(ready)
+        source, w = sources[i]
+        rows.append((source, n, t, d, w, n * d // w, due))
+        if n + 1 < w:
+            heapq.heappush(waiting, (-(-(n + 1) * d // w), i, n + 1))
+    return weights.sparkSession.createDataFrame(rows, "source string, nth long, slot long, period long, weight long, release long, deadline long")
 
 
 def pattern(weights: DataFrame) -> DataFrame:
     """(source, nth, release, deadline, slot, period): which slot of a period the nth block of each source takes."""
     ordered = weights.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "weight"))).alias("s"))
-    checked = ordered.withColumn("s", F.when(F.size("s") <= MOST_SOURCES, F.col("s")).otherwise(F.raise_error(F.lit(f"more than {MOST_SOURCES} sources"))))
-    sums = checked.withColumn("d", F.aggregate("s.weight", F.lit(0).cast("long"), lambda a, w: a + w)).where("d > 0")
+    sums = ordered.withColumn("d", F.aggregate("s.weight", F.lit(0).cast("long"), lambda a, w: a + w)).where("d > 0")
 
     def choose(state: Column, t: Column) -> Column:
         done = state["done"]
@@ -71,13 +93,14 @@ def scheduled(docs: DataFrame, weights: DataFrame | None = None, block_docs: int
     rows = counts.agg(F.sum("docs")).first()[0] or 0
     if weights is not None and (lost := counts.join(weights, "source", "left_anti").first()):
         raise ValueError(f"no weight for the source {lost['source']!r}")
-    plan = materialize(pattern(weights if weights is not None else targets(counts)))  # a period's slots, whatever the corpus
+    wanted = weights if weights is not None else targets(counts)
+    plan = materialize((pattern if wanted.count() <= MOST_SOURCES else pattern_by_heap)(wanted))  # a period's slots, whatever the corpus
     order = ranked(named, [source], digest, ["doc_id", *(["text"] if "text" in docs.columns else [])], rank, rows)
     block = F.floor(F.col(rank) / block_docs)
     cut = order.withColumn(rank, F.struct(block.alias("block"), (F.col(rank) % block_docs).alias("place")))
     look = plan.groupBy("source").agg(F.first("weight").alias("weight"), F.first("period").alias("period"), F.array_sort(F.collect_list(F.struct("nth", "slot", "release", "deadline"))).alias("slots"))
     look = look.select(F.col("source").alias(source), F.struct("weight", "period", "slots").alias(digest))
-    joined = cut.drop(digest).join(F.broadcast(look), source)  # at most MOST_SOURCES rows and a period's slots in all
+    joined = cut.drop(digest).join(F.broadcast(look) if plan.count() <= BROADCAST_SLOTS else look, source)
     at = F.get(F.col(digest)["slots"], (F.col(rank)["block"] % F.col(digest)["weight"]).cast("int"))
     turn = F.floor(F.col(rank)["block"] / F.col(digest)["weight"]) * F.col(digest)["period"]
     made = F.struct(F.col(rank)["block"].alias("block"), *((turn + at[c]).alias(c) for c in ("release", "deadline", "slot")), F.col(rank)["place"].alias("place"))
@@ -101,7 +124,7 @@ ORACLE = f"""
 WITH RECURSIVE named AS (
   SELECT doc_id, coalesce(source, '') AS source, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS digest FROM documents
 ), counts AS (SELECT source, sqrt(CAST(count(*) AS DOUBLE)) AS root FROM named GROUP BY source),
-weights AS (SELECT source, greatest(1, CAST(floor({PERIOD} * root / (SELECT round(sum(root), 6) FROM counts)) AS BIGINT)) AS weight FROM counts),
+weights AS (SELECT source, greatest(1, CAST(floor((SELECT greatest({PERIOD}, {PER_SOURCE} * count(*)) FROM counts) * (root / (SELECT round(sum(root), 6) FROM counts))) AS BIGINT)) AS weight FROM counts),
 s AS (SELECT list(source ORDER BY source) AS names, list(weight ORDER BY source) AS w, CAST(sum(weight) AS BIGINT) AS d FROM weights),
 play(t, done, pick) AS (
   SELECT CAST(-1 AS BIGINT), [CAST(0 AS BIGINT) FOR x IN w], CAST(0 AS BIGINT) FROM s

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,25 +46,32 @@ def word_sums(words: list[str], sizes: tuple[int, ...], values: np.ndarray, mean
     return out
 
 
-def shares(rows: DataFrame, label: str, per_label: int, labels: int = 256) -> tuple[DataFrame, int]:
-    """About per_label rows of each label, by the hash of doc_id, and a bound on how many.
+def shares(rows: DataFrame, label: str, per_label: int) -> tuple[DataFrame, int]:
+    """About per_label rows of each label, those of the least hashes of doc_id, and a bound on how many.
 
-    The bound holds at every size of the table: the share that is taken shrinks as a label's rows grow.
+    The bound holds at every size of the table: the share that is taken shrinks as a label's rows grow. Every label is
+    taken, however rare.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col(label) == r[0], F.lit(per_label / r["count"])).otherwise(share)
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_of_label"))
+    most = 2 * per_label * max(1, counts.count())
     spot = F.xxhash64("doc_id").bitwiseAND(0xFFFFFFFF) / F.lit(float(1 << 32))
-    most = 2 * per_label * max(1, len(counts))
-    return rows.where(spot < share).limit(most), most
+    taken = rows.join(counts, label).where(spot * F.col("_of_label") < per_label)
+    return taken.orderBy(spot, *rows.columns).limit(most).drop("_of_label"), most
+
+
+def stretch(text: Column, doc_id: Column, most_chars: int) -> Column:
+    """The text, or of a longer one a stretch of most_chars characters that the hash of doc_id chooses."""
+    start = F.pmod(F.xxhash64(doc_id), F.length(text) - most_chars + 1).cast("int") + 1
+    return F.when(F.length(text) <= most_chars, text).otherwise(text.substr(start, F.lit(most_chars)))
 
 
 def sample(rows: DataFrame, label: str, per_label: int, most_chars: int) -> list:
-    """About per_label rows (doc_id, text, label) of each label; longer texts than most_chars stay out."""
-    fit = rows.where(F.col("text").isNotNull() & F.col(label).isNotNull() & (F.length("text") <= most_chars))
-    taken, _ = shares(fit, label, per_label)
-    return in_order(taken.select("doc_id", "text", label).collect())
+    """About per_label rows (doc_id, text, label) of each label; of longer texts than most_chars a stretch."""
+    taken, most = shares(rows.where(F.col("text").isNotNull() & F.col(label).isNotNull()).select("doc_id", label), label, per_label)
+    texts = rows.select("doc_id", label, stretch(F.col("text"), F.col("doc_id"), most_chars).alias("text")).where("text is not null")
+    found = texts.join(F.broadcast(taken.distinct()), ["doc_id", label])  # `most` rows at most
+    spot = F.xxhash64("doc_id")
+    return in_order(found.select("doc_id", "text", label).orderBy(spot, "doc_id", "text", label).limit(2 * most).collect())
 
 
 def in_order(rows: list) -> list:

@@ -50,9 +50,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
+def line_dedup_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.pages_query(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_licenses, op4_mixing, op5_language, op6_secrets, op7_quality, op8_packing, op9_embeddings, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_licenses, op4_mixing, op5_language, op6_secrets, op7_quality, op8_packing, op9_embeddings, op10_simhash, line_dedup_of_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op3_licenses": license_scan.oracle(), "op4_mixing": mixing.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "line_dedup_of_pages": line_dedup.PAGES_ORACLE, "op3_licenses": license_scan.oracle(), "op4_mixing": mixing.ORACLE}

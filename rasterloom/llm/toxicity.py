@@ -9,9 +9,8 @@ Labels mark texts, not windows, so training is by multiple instances: a first li
 the likeliest windows of each text, the network learns from those (and from random windows of clean texts), then picks
 windows itself and learns again. At the end the logit's offset is set on whole training texts.
 
-It learns from about `per_label` labelled ids of each label, those of them whose texts have `most_chars` characters at
-most. Empty and null texts
-are one empty window and score as such. With no labels of both kinds every score is 0.0. A null doc_id is kept.
+It learns from about `per_label` labelled ids of each label, and of texts longer than `most_chars` from a stretch of so
+many characters; it scores whole texts, however long. Empty and null texts are one empty window and score as such. With no labels of both kinds every score is 0.0. A null doc_id is kept.
 Repeated rows come back as often as they came; an empty table gives no rows; extra columns don't matter.
 """
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import bounded_batches, held_out
-from rasterloom.llm.ngrams import Vocabulary, hashed, in_order, shares
+from rasterloom.llm.ngrams import Vocabulary, hashed, in_order, shares, stretch
 
 WORD = re.compile(r"[^\W_]+")
 WINDOW, STRIDE = 16, 8
@@ -310,7 +309,7 @@ def fit(rows: list, seed: int = 7, epochs: tuple[int, ...] = (6, 4), batch: int
     return net
 
 
-def query(docs: DataFrame, labels: DataFrame, per_label: int = 2500, most_chars: int = 8000) -> DataFrame:
+def query(docs: DataFrame, labels: DataFrame, per_label: int = 2500, most_chars: int = 16_000) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; learns from the other folds alone.
 
     labels has doc_id and toxic (0 or 1); rows whose label is null teach nothing, and a document that labels marks
@@ -319,8 +318,9 @@ def query(docs: DataFrame, labels: DataFrame, per_label: int = 2500, most_chars:
     import pyarrow as pa
 
     known, most = shares(labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))), "toxic", per_label)
-    marked = docs.select("doc_id", "text").where(F.length("text") <= most_chars).join(F.broadcast(known), "doc_id")  # `most` rows at most
-    net = fit(in_order(marked.select("doc_id", "text", "toxic").limit(2 * most).collect()))
+    texts = docs.select("doc_id", stretch(F.col("text"), F.col("doc_id"), most_chars).alias("text")).where("text is not null")
+    marked = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")  # `most` rows at most
+    net = fit(in_order(marked.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "toxic").limit(2 * most).collect()))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of one size, whatever the corpus
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

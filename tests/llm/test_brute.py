@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -209,7 +210,10 @@ def test_line_dedup(spark):
     found, name = line_dedup.marked(df, F.col("source"), F.col("text"))
     out = {r.doc_id: r[name] for r in found.collect()}
     assert all(out[i].text == f"story number {i} is told here at some length\n" and out[i].n_dropped == 2 for i in range(20))
-    assert all(out[100 + i].text == "menu\nother" for i in range(3)) and out[200].text == "menu"  # too few pages; all would go
+    assert all(out[100 + i].text == "" and out[100 + i].n_dropped == 2 for i in range(3)) and out[200].text == ""  # the ratio alone decides
+    kept, left = line_dedup.marked(df, F.col("source"), F.col("text"), spare=True, min_pages=4)
+    out2 = {r.doc_id: r[left] for r in kept.collect()}
+    assert all(out2[100 + i].text == "menu\nother" for i in range(3)) and out2[200].text == "menu" and out2[0] == out[0]
     urls = spark.createDataFrame([("https://u@Ex.org:80/a?b", "ex.org"), ("no url", None), (None, None)], "u string, h string")
     assert all(r[0] == r[1] for r in urls.select(line_dedup.host_of_url(F.col("u")), "h").collect())
     monkey = line_dedup.BROADCAST_LINES
@@ -244,6 +248,22 @@ def test_mixing_deviates_less_than_a_block(spark):
     assert all(sorted(p) == [(k, 0) for k in range(len(p))] for p in pos.values())
 
 
+def test_mixing_of_many_sources(spark):
+    """A heap and the expression give one schedule; thousands of sources keep their shares, a hot one too."""
+    weights = spark.createDataFrame([("a", 5), ("b", 3), ("c", 2), ("d", 7), ("e", 1)], "source string, weight long")
+    rows = lambda df: sorted(map(tuple, df.select("source", "nth", "slot", "period", "weight", "release", "deadline").collect()))
+    assert rows(mixing.pattern(weights)) == rows(mixing.pattern_by_heap(weights))
+    n = 5000
+    df = spark.range(3 * n // 2).selectExpr("id as doc_id", f"case when id < {n} then cast(id as string) else 'hot' end as source")
+    found, name = mixing.scheduled(df)
+    out = found.collect()
+    period = max(r[name].slot for r in out) + 1
+    assert len(out) == 3 * n // 2 and all(r[name].release <= r[name].slot < r[name].deadline for r in out)
+    share = math.sqrt(n / 2) / (math.sqrt(n / 2) + n)
+    first = [r[name].deadline for r in out if r.source == "hot" and r[name].block == 0][0]
+    assert period > n and abs(1 / first - share) < 0.1 * share
+
+
 def test_licences(spark):
     files = [("a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/b/x.py", "nothing"), ("a/c/LICENSE.txt", "Released under the MIT License."), ("a/c/d/y.py", None), ("z/q.py", "# Licensed under CC BY-NC 4.0.\ncode"), ("r.py", "x"), (None, "x"), ("a/c/z.py", "This licence is quite unlike any that is known to mankind so far")]
     df = spark.createDataFrame(files, "path string, text string")
@@ -257,6 +277,23 @@ def test_licences(spark):
     }
 
 
+def test_licence_texts(spark):
+    """SPDX lines, wrapped headers, titles and whole texts; a mere copyright line is no licence."""
+    from pyspark.sql import functions as F
+
+    wrap = lambda text, sign: "\n".join(sign + x for x in textwrap.wrap(" ".join(text.split()), 60))
+    texts = {k: dict(enumerate(v)) for k, v in license_scan.TEXTS.items()}
+    files = [(f"spdx_{k}.py", f"// SPDX-License-Identifier: {k}\nint x;", k) for k in texts if k != "Proprietary"]
+    files += [("o.c", "/* SPDX-License-Identifier: GPL-3.0-or-later */", "GPL-3.0"), ("n.c", "// SPDX-License-Identifier: Foo-1.0", None)]
+    files += [(f"h{i}.py", "import os\n\n# Copyright (C) 2021 A. Person\n#\n" + wrap(texts[k][len(texts[k]) - 1], "# ") + "\n\nx = 1\n", k) for i, k in enumerate(("GPL-3.0", "GPL-2.0", "LGPL-2.1", "AGPL-3.0", "Apache-2.0", "MPL-2.0"))]
+    files += [(f"{i}/LICENSE", f"{k} License\n\nCopyright (c) 2020, Jane Doe. All rights reserved.\n\n" + wrap(texts[k][2], ""), k) for i, k in enumerate(("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC"))]
+    files += [("t/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nEveryone is permitted to copy.", "GPL-3.0"), ("m.js", "/* Mozilla Public License Version 2.0 */", "MPL-2.0"), ("c.c", "/* Copyright (c) 2020 Jane Doe. All rights reserved. */", None)]
+    df = spark.createDataFrame([f[:2] for f in files], "path string, text string")
+    found, name = license_scan.scanned(df, F.col("path"), F.col("text"))
+    out = {r.path: r[name].licence for r in found.collect()}
+    assert {p: out[p] for p, _, _ in files} == {p: k for p, _, k in files}
+
+
 def test_secret_base_spans():
     rng = random.Random(8)
     pieces = ["password", "PassWd", "api_key", "APIKEY", "token", "secret", " ", "  ", "=", ":", '"', "'", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "deadbeef", "xyz", "\n", "ſecret", "é", "Ab1+/_.=-"]
@@ -355,6 +392,50 @@ def test_language_accuracy(spark):
     assert mix.startswith(("en", "de")) and "en" in mix and "de" in mix and 0.35 < score < 0.75 and und[0] == "und"
 
 
+def test_language_sets_have_no_cap(spark):
+    """Twelve languages of words of their own: texts of eight equal parts keep all eight, and a rare label is learned."""
+    rng = random.Random(4)
+    alphabets = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 6)) for _ in range(12)]
+    text = lambda k, n: " ".join("".join(rng.choices(alphabets[k], k=7)) for _ in range(n))
+    rows = [(100 * k + i, text(k, 80), f"l{k:02d}") for k in range(12) for i in range(3 if k == 11 else 60)]
+    df = spark.createDataFrame([*rows, (9000, " ".join(text(k, 160) for k in range(8)), None), (9001, text(11, 200), None)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in langid.query(df).collect()}
+    mix = {k: float(v) for k, v in (m.split(":") for m in out[9000].mixture.split(","))}
+    assert set(mix) == {f"l{k:02d}" for k in range(8)} and all(0.08 < v < 0.17 for v in mix.values())
+    assert out[9001].lang_pred == "l11" or not any(not r.held_out for k, r in out.items() if 1100 <= k < 1103)
+
+
+def test_mixtures_against_plain_estimation():
+    """Proportions and the chosen number of languages, by loops over single texts."""
+    rng = np.random.default_rng(3)
+    units = rng.normal(0, 30, (60, 4))
+    starts = np.array([0, 5, 6, 30])
+    got, chosen = langid.mixtures(units, starts)
+
+    def em(u, allowed):
+        share = [1 / len(allowed)] * len(allowed)
+        for _ in range(langid.ROUNDS):
+            r = []
+            for row in u:
+                p = [s * math.exp(row[k] - row.max()) + 1e-300 for s, k in zip(share, allowed, strict=True)]
+                r.append([x / sum(p) for x in p])
+            share = [sum(x[k] for x in r) / len(u) for k in range(len(allowed))]
+            share = [s / sum(share) for s in share]
+        return share, sum(math.log(sum(s * math.exp(row[k] - row.max()) for s, k in zip(share, allowed, strict=True)) + 1e-300) + row.max() for row in u)
+
+    for t, (a, b) in enumerate(zip(starts, [*starts[1:], 60], strict=True)):
+        u = units[a:b]
+        free, _ = em(u, range(4))
+        order = np.argsort(-np.array(free), kind="stable").tolist()
+        values = []
+        for m in range(1, 5):
+            allowed = sorted(order[:m])
+            share, likelihood = em(u, allowed)
+            values.append((likelihood - langid.PENALTY * (m - 1) * math.log(len(u) + 1) * langid.UNIT, m, dict(zip(allowed, share, strict=True))))
+        best = max(values, key=lambda v: (v[0], -v[1]))
+        assert chosen[t] == best[1] and got[t] == pytest.approx([best[2].get(k, 0.0) for k in range(4)], abs=1e-6)
+
+
 def test_network_gradients():
     net = toxicity.Network(3)
     rng = np.random.default_rng(0)
@@ -520,7 +601,7 @@ def test_pipeline(spark, plain):
     for i, r in kept.items():
         lines = r.text.split("\n")
         rest = [x for x in lines if (r.source, x.strip(" \t\n\x0b\x0c\r")) not in bad]
-        stays = len("".join(rest)) < (1 - line_dedup.MOST_LOST) * len("".join(lines))
+        stays = not "".join(rest).strip(" \t\n\x0b\x0c\r")
         texts[i] = r.text if stays or len(rest) == len(lines) else "\n".join(rest)
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.encode().lower().split()) else set() for i, t in texts.items()}
     ids = sorted(texts)

@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_query_matches_sql(name, spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found = queries.queries()[name](spark, SF)
     cols = sorted(found.columns)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()[name]})").fetchall()
@@ -19,7 +20,7 @@ def test_query_matches_sql(name, spark):
 
 
 def test_every_operator_has_one_query():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries() if n.startswith("op")] == [f"op{k}" for k in range(1, 11)]
 
 
 def test_native_operators_run_no_python(spark):
