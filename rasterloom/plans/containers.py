@@ -246,10 +246,11 @@ def _cases() -> dict:
     good = write.ImageSpec(4, 4)
 
     def opened(**changes):
-        tags = dict(good.entries([8], [16], False) and [(e[0], e) for e in good.entries([8], [16], False)])
+        tags = {e[0]: e for e in good.entries([8], [16], False)}
         for code, entry in changes.pop("tags", {}).items():
-            tags[code] = (code, *entry)
-        body = write._directory(sorted(tags.values()), 24, 0, False, "<")
+            tags[code] = (code, *(entry or ()))
+        entries = sorted(e for e in tags.values() if len(e) > 1)
+        body = write._directory(entries, 24, changes.pop("following", 0), False, "<")
         t = container.Tiff(BytesSource(write._header(24, False, "<") + one.tobytes() + body))
         return t.read(t.ifds[0], **changes)
 
@@ -276,6 +277,36 @@ def _cases() -> dict:
         "writer_jpeg_bands": lambda: write.ImageSpec(4, 4, 3, compression=codecs.JPEG, photometric=container.RGB),
         "writer_level": lambda: write.pyramid(good, one, [1]),
         "writer_incomplete": lambda: write.layout([write.Sizes(good, [])]),
+        "empty_file": lambda: container.Tiff(BytesSource(b"")),
+        "directory_cycle": lambda: opened(following=24),
+        "no_width": lambda: opened(tags={container.IMAGE_WIDTH: None}),
+        "no_offsets": lambda: opened(tags={container.STRIP_OFFSETS: None}),
+        "zero_samples": lambda: opened(tags={container.SAMPLES_PER_PIXEL: (3, [0])}),
+        "mixed_bits": lambda: opened(tags={container.SAMPLES_PER_PIXEL: (3, [3]), container.BITS_PER_SAMPLE: (3, [8, 8, 16])}),
+        "odd_bits": lambda: opened(tags={container.BITS_PER_SAMPLE: (3, [12])}),
+        "offset_beyond_end": lambda: opened(tags={container.STRIP_OFFSETS: (4, [10**6])}),
+        "byte_count_number": lambda: opened(tags={container.STRIP_BYTE_COUNTS: (4, [16, 16])}),
+        "zero_tile": lambda: opened(tags={container.TILE_WIDTH: (4, [0]), container.TILE_LENGTH: (4, [16]), container.TILE_OFFSETS: (4, [8]), container.TILE_BYTE_COUNTS: (4, [16])}),
+        "tile_without_counts": lambda: opened(tags={container.TILE_WIDTH: (4, [16]), container.TILE_LENGTH: (4, [16]), container.TILE_OFFSETS: (4, [8])}),
+        "negative_window": lambda: opened(window=(-1, 0, 1, 1)),
+        "bad_deflate": lambda: opened(tags={container.COMPRESSION: (3, [codecs.DEFLATE])}),
+        "bad_zstd": lambda: opened(tags={container.COMPRESSION: (3, [codecs.ZSTD])}),
+        "bad_lerc": lambda: opened(tags={container.COMPRESSION: (3, [codecs.LERC])}),
+        "bad_jpeg": lambda: opened(tags={container.COMPRESSION: (3, [codecs.JPEG])}),
+        "too_few_colours": lambda: opened(tags={container.PHOTOMETRIC: (3, [container.RGB])}),
+        "short_block_of_bands": lambda: opened(tags={container.PHOTOMETRIC: (3, [container.RGB]), container.SAMPLES_PER_PIXEL: (3, [3]), container.BITS_PER_SAMPLE: (3, [8, 8, 8])}),
+        "ask_table": lambda: tiff.Ask.of({"table": "nothing"}),
+        "ask_window": lambda: tiff.Ask.of({"window": "1,2,3"}),
+        "writer_zero_width": lambda: write.ImageSpec(0, 4),
+        "writer_strip_rows": lambda: write.ImageSpec(4, 4, rows_per_strip=0),
+        "writer_float_predictor": lambda: write.ImageSpec(4, 4, dtype="u1", predictor=3),
+        "writer_variant": lambda: write.layout([write.Sizes(good, [16])], variant="tiny"),
+        "writer_classic_size": lambda: write.layout([write.Sizes(good, [5 << 30])], variant="classic"),
+        "writer_shape": lambda: write.write_images([(good, np.zeros((3, 4, 1), np.uint8))]),
+        "writer_palette": lambda: write.ImageSpec(4, 4, photometric=container.PALETTE),
+        "writer_planar": lambda: write.ImageSpec(4, 4, planar=3),
+        "writer_compression": lambda: write.ImageSpec(4, 4, compression=6),
+        "writer_dtype": lambda: write.ImageSpec(4, 4, dtype="f2"),
     }
 
 
@@ -284,6 +315,11 @@ ERRORS = {
     "float16": "UnsupportedSampleFormat", "planar": "UnsupportedPlanar", "predictor": "UnsupportedPredictor", "palette_without_map": "InvalidLayout", "block_count": "InvalidLayout", "compression": "UnsupportedCompression",
     "short_block": "DecodeFailed", "window": "WindowOutOfBounds", "band": "BandOutOfBounds", "type": "SampleTypeMismatch", "no_geokeys": "NotGeoTiff", "writer_tile": "WriteConfig", "writer_lerc_64": "WriteConfig",
     "writer_jpeg_bands": "WriteConfig", "writer_level": "WriteConfig", "writer_incomplete": "IncompleteImage",
+    "empty_file": "InvalidHeader", "directory_cycle": "InvalidLayout", "no_width": "InvalidLayout", "no_offsets": "InvalidLayout", "zero_samples": "InvalidLayout", "mixed_bits": "InvalidLayout", "odd_bits": "UnsupportedSampleFormat",
+    "offset_beyond_end": "Truncated", "byte_count_number": "InvalidLayout", "zero_tile": "InvalidLayout", "tile_without_counts": "InvalidLayout", "negative_window": "WindowOutOfBounds", "bad_deflate": "DecodeFailed",
+    "bad_zstd": "DecodeFailed", "bad_lerc": "DecodeFailed", "bad_jpeg": "DecodeFailed", "too_few_colours": "InvalidLayout", "short_block_of_bands": "DecodeFailed", "ask_table": "TiffError", "ask_window": "WindowOutOfBounds",
+    "writer_zero_width": "WriteConfig", "writer_strip_rows": "WriteConfig", "writer_float_predictor": "WriteConfig", "writer_variant": "WriteConfig", "writer_classic_size": "WriteConfig", "writer_shape": "WriteConfig",
+    "writer_palette": "WriteConfig", "writer_planar": "WriteConfig", "writer_compression": "WriteConfig", "writer_dtype": "WriteConfig",
 }
 
 

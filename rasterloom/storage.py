@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's checkpoint folder; under a temporary one only where none is set."""
+    """A new folder under the cluster's checkpoint folder; under a temporary one only in local mode, where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="rasterloom-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
