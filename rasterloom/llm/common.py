@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,11 +30,13 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names; one of our own only where none is set."""
+    """The folder for checkpoints that the cluster names; a temporary one only in local mode, where none is set."""
     context = spark.sparkContext
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="rasterloom-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 

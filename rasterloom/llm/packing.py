@@ -14,7 +14,7 @@ of its length.
 in, into runs of so many sequences' tokens, and packs each run by a program of its own, on the executors. Sequences of
 a run follow those of the runs before it, so that every prefix of whole runs holds a prefix of the input.
 
-Nulls count as empty texts: a document of no ids is its end token alone. A null doc_id is a document like others.
+Texts are read whole, however long, and cut only into pieces. Nulls count as empty texts: a document of no ids is its end token alone. A null doc_id is a document like others.
 Repeated rows are packed each on its own. An empty table gives no rows. Extra columns don't matter.
 """
 

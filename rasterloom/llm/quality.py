@@ -6,7 +6,7 @@ its share among trusted n-grams over its share in the corpus. A document's verdi
 by its number of words, against a fixed threshold. Everything runs as built-in expressions; the weights reach the
 executors as a scalar subquery of as many numbers as there are buckets.
 
-A null text has no words. A document that fails the base rules is not kept, whatever its ratio. Without trusted
+Texts are read whole, however long. A null text has no words. A document that fails the base rules is not kept, whatever its ratio. Without trusted
 documents every weight is 0 and the base rules decide alone. Repeated rows count and come back as often as they came;
 a null doc_id is kept and never trusted; an empty table gives no rows; extra columns stay or don't matter.
 """

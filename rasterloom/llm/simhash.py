@@ -10,7 +10,7 @@ Only what connectivity needs leaves a posting: a spanning forest of its links, n
 cut into blocks and each pair of blocks is a group of its own, so no group holds more than two blocks and no link is
 lost. Exact copies share one fingerprint and never meet in pairs.
 
-Nulls count as empty texts; texts of no words have fingerprint zero and are linked like any other. A null doc_id is
+Texts are read whole, however long. Nulls count as empty texts; texts of no words have fingerprint zero and are linked like any other. A null doc_id is
 kept with its fingerprint, and never names a component that has another doc_id. Repeated rows come back as often
 as they came. An empty table gives no rows. Extra columns don't matter.
 

@@ -471,6 +471,55 @@ def test_windows_cover_whole_texts():
         assert len(starts) == 1 or starts[-1] + toxicity.WINDOW >= n
 
 
+def test_scores_by_a_plain_network():
+    """Whole texts, window by window and word by word, with loops over single numbers' vectors."""
+    net = toxicity.Network(5)
+    net.p["bo"] = np.array([0.3], np.float32)
+    p, n = {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        padded = "\n" + word + "\n"
+        grams = []
+        for size in toxicity.GRAMS:
+            for k in range(len(padded) - size + 1):
+                h = size
+                for ch in padded[k : k + size]:
+                    h = (h * 0x100000001B3 + ord(ch)) % 2**64
+                h ^= h >> 29
+                h = h * 0xBF58476D1CE4E5B9 % 2**64
+                grams.append((h >> 40) % toxicity.GRAM_BUCKETS)
+        mean = np.mean([p["grams"][g] for g in grams], axis=0) if grams else np.zeros(toxicity.GRAM_SIZE)
+        return np.concatenate([p["words"][zlib.crc32(word.encode()) % toxicity.WORD_BUCKETS], mean])
+
+    def run(words, side):
+        h, out = np.zeros(n), []
+        for w in words if side == "f" else words[::-1]:
+            x = vector(w) @ p["w" + side] + p["b" + side]
+            z, r = sigmoid(x[:n] + h @ p["u" + side][:, :n]), sigmoid(x[n : 2 * n] + h @ p["u" + side][:, n : 2 * n])
+            h = h + z * (np.tanh(x[2 * n :] + (r * h) @ p["u" + side][:, 2 * n :]) - h)
+            out.append(h)
+        return out if side == "f" else out[::-1]
+
+    def score(text):
+        words, best = re.findall(r"[^\W_]+", text.lower()), -math.inf
+        starts = range(0, max(1, len(words) - toxicity.STRIDE if len(words) > toxicity.WINDOW else 1), toxicity.STRIDE)
+        for a in starts:
+            part = words[a : a + toxicity.WINDOW]
+            states = [np.concatenate(s) for s in zip(run(part, "f"), run(part, "b"), strict=True)]
+            if not states:
+                best = max(best, p["bo"][0])
+                continue
+            e = np.array([np.tanh(s @ p["wa"] + p["ba"]) @ p["va"] for s in states])
+            a_ = np.exp(e - e.max())
+            best = max(best, sum(x * s for x, s in zip(a_ / a_.sum(), states, strict=True)) @ p["wo"] + p["bo"][0])
+        return sigmoid(best)
+
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdeé", k=rng.randrange(1, 9))) for _ in range(k)) for k in (0, 1, 2, 15, 16, 17, 24, 25, 40, 75)]
+    assert toxicity.Scorer(net)(texts) == pytest.approx([score(t) for t in texts], abs=2e-5)
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(0)
     clean = [f"word{k}" for k in range(300)]
@@ -613,6 +662,29 @@ def test_pipeline(spark, plain):
         assert sum(r.length for r in rows if r.doc_id == i) == len(tok.encode(texts[i], add_special_tokens=False).ids) + 1
 
 
+@pytest.mark.parametrize("rows", ["messy", "empty"])
+def test_pipeline_on_messy_tables(spark, rows, request, labels, tmp_path):
+    """Nulls, repeats, empty and long texts, extra columns with clashing names, and no rows at all."""
+    docs = request.getfixturevalue(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if rows == "empty":
+        assert out == []
+        return
+    spans = {}
+    for r in out:
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in spans.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert at <= 4096
+    pieces = Counter((r.doc_id, r.piece) for r in out)
+    assert max(pieces.values()) == 1 and {r.doc_id for r in out} <= {1, None, 5}
+
+
 def test_sequences_follow_the_mixture(spark, tmp_path, monkeypatch):
     """Sources keep their target shares over prefixes of sequence_id, which an unmixed table's sequences don't."""
     monkeypatch.setattr(packing, "LEAST_RUN", 4)
