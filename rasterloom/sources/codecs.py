@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -37,40 +38,54 @@ def zstd_encode(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data)
 
 
+@functools.cache
+def _lzw_schedule() -> tuple[np.ndarray, np.ndarray]:
+    """Widths of the codes after a clear, and the bit at which each starts: they follow from a code's place alone."""
+    size = 258 + np.maximum(0, np.arange(1 << 12) - 1)
+    width = np.select([size < 511, size < 1023, size < 2047], [9, 10, 11], 12)
+    return width, np.r_[0, np.cumsum(width)[:-1]]
+
+
 def lzw_decode(data: bytes, most: int) -> bytes:
-    """Codes of 9 to 12 bits, high bits first, that widen one code early; 256 clears, 257 ends."""
-    out = bytearray()
-    words: list[bytes] = [bytes([i]) for i in range(256)] + [b"", b""]
-    width, bits, held, before = 9, 0, 0, None
-    for byte in data:
-        held = held << 8 | byte
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 256:
-            del words[258:]
-            width, before = 9, None
-            continue
-        if code == 257 or len(out) >= most:
-            break
-        if before is None:
-            if code > 255:
-                raise DecodeFailed("lzw: the first code is no byte")
-            word = words[code]
-        else:
-            if code < len(words):
-                word = words[code]
-            elif code == len(words):
-                word = before + before[:1]
+    """Codes of 9 to 12 bits, high bits first, that widen one code early; 256 clears, 257 ends.
+
+    A table's entry is what its code gave and the byte after, so it is a piece of the output: codes are taken out of the
+    bits many at a time, and words are copied from where they first came.
+    """
+    width, starts = _lzw_schedule()
+    raw, bits = np.frombuffer(data + bytes(3), np.uint8).astype(np.uint32), 8 * len(data)
+    out, at, ended = bytearray(), 0, False
+    while not ended and len(out) < most:
+        begins: list[int] = []  # of this table's words in the output
+        cleared = False
+        while not cleared and not ended:
+            w, s = (width, at + starts) if not begins else (np.full(len(width), 12), at + 12 * np.arange(len(width)))
+            there = int(np.searchsorted(s + w, bits, side="right"))
+            w, s = w[:there], s[:there]
+            k = s >> 3
+            codes = ((raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) >> (24 - (s & 7) - w).astype(np.uint32)) & ((1 << w) - 1).astype(np.uint32)
+            marks = np.flatnonzero((codes == 256) | (codes == 257))
+            n = int(marks[0]) if len(marks) else there
+            for code in codes[:n].tolist():
+                if len(out) >= most:
+                    return bytes(out)
+                here, entry = len(out), code - 258
+                begins.append(here)
+                if entry < 0:
+                    out.append(code)
+                elif entry < len(begins) - 1:
+                    first = begins[entry]
+                    out += out[first : begins[entry + 1] + 1]
+                    if entry == len(begins) - 2:  # the entry that this very code completes
+                        out.append(out[first])
+                else:
+                    raise DecodeFailed("lzw: the first code is no byte" if len(begins) == 1 else f"lzw: code {code} of {257 + len(begins)}")
+            if len(marks):
+                cleared, ended = codes[n] == 256, codes[n] == 257
+                at = int(s[n] + w[n])
             else:
-                raise DecodeFailed(f"lzw: code {code} of {len(words)}")
-            words.append(before + word[:1])
-            width = min(12, (len(words) + 1).bit_length()) if len(words) >= 511 else 9
-        out += word
-        before = word
+                at = int(s[-1] + w[-1]) if there else at
+                ended = there < len(width)
     return bytes(out)
 
 
