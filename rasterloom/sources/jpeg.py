@@ -19,7 +19,7 @@ ZIGZAG = _zigzag()
 K = np.arange(8)
 #: The cosine transform: rows are frequencies.
 DCT = np.where(K[:, None] == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * K[None, :] + 1) * K[:, None] * np.pi / 16)
-# The standard luminance quantisation table and Huffman code lengths and symbols of the JPEG standard, annex K.
+# The luminance quantisation table and the lengths and symbols of the DC code in the JPEG standard, annex K.
 QUANT = np.array(
     [16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62,
      18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99]
@@ -28,12 +28,12 @@ DC_LENGTHS, DC_SYMBOLS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], list(
 
 
 def _ac_table() -> tuple[list[int], list[int]]:
-    """Code lengths and symbols for run lengths and sizes: any complete code serves, so all 162 symbols get 8 bits or fewer by need."""
+    """Code lengths and symbols for run lengths and sizes: a prefix code of our own, which files carry with them; neither the standard's nor the shortest."""
     symbols = [0x00, *(0x00 | s for s in range(1, 6)), *(r << 4 | 1 for r in range(1, 8))]
     rest = [r << 4 | s for s in range(1, 11) for r in range(16)] + [0xF0]
     symbols += [s for s in rest if s not in symbols]
     lengths = [0] * 16
-    # 13 common symbols of 5 bits, 30 of 7, and the rest of 10 bits: a prefix code with room to spare.
+    # 13 common symbols of 5 bits, 30 of 7, and the rest of 10 bits, with room to spare.
     lengths[4], lengths[6] = 13, 30
     lengths[9] = len(symbols) - 43
     return lengths, symbols
