@@ -199,10 +199,27 @@ def fixed_bytes(column):
     return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(n, -1)
 
 
+def roots(n: int, i, j):
+    """For each of n rows the first that links (i, j) reach."""
+    import numpy as np
+
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def spanning_links(starts, n: int, near):
     """(i, j) arrays that connect what the near pairs of each group connect; near takes two arrays of row numbers.
 
-    Small groups compare all pairs at once; of larger ones each row meets those that no link has yet reached.
+    Small groups compare all pairs at once, and link each row to the first that it reaches; of larger ones each row meets
+    those that no link has yet reached. Links are one fewer than the rows they connect.
     """
     import numpy as np
 
@@ -210,10 +227,15 @@ def spanning_links(starts, n: int, near):
     wide = ends - starts
     of = np.repeat(np.arange(len(starts)), wide)
     small = wide[of] <= 16
+    pairs = []
     for d in range(1, int(min(wide.max(initial=0), 16))):
         i = np.flatnonzero((of[d:] == of[:-d]) & small[d:])
-        ok = near(i, i + d)
-        yield i[ok], i[ok] + d
+        i = i[near(i, i + d)]
+        pairs.append((i, i + d))
+    if pairs:
+        first = roots(n, *(np.concatenate(x) for x in zip(*pairs, strict=True)))
+        tied = np.flatnonzero(first != np.arange(n))
+        yield first[tied], tied
     for a, b in zip(starts[wide > 16].tolist(), ends[wide > 16].tolist(), strict=True):
         left = np.arange(a, b)
         while len(left) > 1:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import bounded_batches, components, fixed_bytes, in_blocks, join_counted, materialize, whole_groups
+from rasterloom.llm.common import bounded_batches, components, fixed_bytes, in_blocks, join_counted, materialize, roots, whole_groups
 
 #: Groups are cut into blocks of the first size up to SPREAD blocks, then into SPREAD larger ones, up to the second.
 BLOCK, SPREAD, LARGEST = 256, 16, 2048
@@ -132,20 +132,6 @@ def linked(group: np.ndarray, place: np.ndarray, vectors: np.ndarray, ends: np.n
             yield i, i + d
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n rows the first that links (i, j) reach."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def query(rows: DataFrame, threshold: float = 0.9, recall: float = 0.97) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector of (vec_id, embedding)."""
     import pyarrow as pa

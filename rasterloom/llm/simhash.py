@@ -122,7 +122,7 @@ def links(fps: DataFrame, bits: int, rows: int, block: int = BLOCK, spread: int
 
     bounded_batches(fps.sparkSession)
     dealt = in_blocks(posts, ["k", "key"], "fp", block, spread, largest).select(*group, "fp", "node")
-    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(search, "a long, b long").distinct()
+    return dealt.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(search, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, width: int = 4, bits: int = 4, block: int = BLOCK) -> DataFrame:
@@ -262,7 +262,7 @@ def candidates(nodes: DataFrame, similarity: float, rows: int) -> DataFrame:
     marks = nodes.select("node", F.substring("wide", 1, 8 * WIDE).alias("wide"), "n")
     posts = nodes.select("node", "wide").mapInArrow(post, "node long, key long")
     dealt = in_blocks(posts, ["key"], "node", BLOCK, SPREAD, LARGEST).select(*group, "node").join(marks, "node").select(*group, "node", "wide", "n")
-    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(search, "a long, b long").where("a <> b").distinct()
+    return dealt.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(search, "a long, b long").where("a <> b").distinct()
 
 
 def alike(starts: np.ndarray, sets: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
