@@ -92,6 +92,8 @@ LICENCE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying|notice)([.-][^/]*)?$"
 LEAST_COSINE = 0.6
 #: What parts blocks of lines: a line of nothing but blanks and comment signs.
 GAP = r"\n[ \t\r/*#;-]*\n"
+#: Lists that the templates' terms are dealt to by their hashes.
+SLOTS = 1024
 #: Directories with a licence up to which they are broadcast.
 BROADCAST_DIRECTORIES = 50_000
 
@@ -110,20 +112,28 @@ def model() -> tuple[dict[str, float], float, list[dict[str, float]]]:
 
 
 def index(spark: SparkSession) -> DataFrame:
-    """One row `index`: of each term its inverse document frequency and, by template, its weight times that."""
+    """One row `index`: by the terms' hashes, of each term its inverse document frequency and, by template, its weight times that."""
     idf, _, weights = model()
     rows = [(t, (w, [(k, v[t] * w) for k, v in enumerate(weights) if t in v])) for t, w in sorted(idf.items())]
     terms = spark.createDataFrame(rows, "term string, of struct<idf: double, of: array<struct<k: int, w: double>>>")
-    return terms.agg(F.map_from_entries(F.collect_list(F.struct("term", "of"))).alias("index"))
+    kept = terms.groupBy(slot(F.col("term")).alias("slot")).agg(F.collect_list(F.struct("term", "of")).alias("terms")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "terms"))).alias("kept"))
+    return kept.select(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.try_element_at("kept", k)).alias("index"))
 
 
-def statement(text: Column, index: Column) -> Column:
-    """A struct (cosine, licence) of the best template of one statement; ties go to the first licence."""
+def slot(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SLOTS)).cast("int")
+
+
+def statement(text: Column, index: Column, least: float = LEAST_COSINE) -> Column:
+    """A struct (cosine, licence) of the best template of one statement; ties go to the first licence.
+
+    Null where the least cosine is out of reach: a vector is at least as long as if each of its terms were another one.
+    """
     _, unknown, _ = model()
     names = F.array(*(F.lit(k) for k, _ in TEMPLATES))
 
     def of_terms(terms: Column) -> Column:
-        found = F.transform(terms, lambda t: F.struct(t.alias("t"), F.try_element_at(index, t).alias("x")))
+        found = F.transform(terms, lambda t: F.struct(t.alias("t"), F.get(F.filter(F.get(index, slot(t)), lambda k: k["term"] == t), F.lit(0))["of"].alias("x")))
         return let(found, of_found)
 
     def of_found(found: Column) -> Column:
@@ -136,7 +146,9 @@ def statement(text: Column, index: Column) -> Column:
 
         length = F.aggregate(F.array_sort(F.transform(found, lambda x: F.struct(x["t"].alias("t"), F.struct(x["x"]["idf"].alias("idf")).alias("x")))), none, longer, lambda a: F.sqrt(a["sum"] + square(a)))
         hits = F.flatten(F.transform(F.filter(found, lambda x: x["x"].isNotNull()), lambda x: x["x"]["of"]))
-        return F.when(F.size(hits) > 0, let(length, lambda n: best_of(F.array_sort(hits), n)))
+        shortest = F.aggregate(found, F.lit(0.0), lambda a, x: a + F.pow(F.coalesce(x["x"]["idf"], F.lit(unknown)), F.lit(2.0)), F.sqrt)
+        within = lambda h: F.when(best_of(h, shortest)["cosine"] >= least - 1e-6, let(length, lambda n: best_of(h, n)))
+        return F.when(F.size(hits) > 0, let(F.array_sort(hits), within))
 
     def best_of(hits: Column, length: Column) -> Column:
         none = F.struct(F.lit(-1).alias("k"), F.lit(0.0).alias("dot"), F.lit(0.0).alias("cosine"), F.lit(None).cast("string").alias("licence"))
@@ -162,7 +174,7 @@ def own_licence(text: Column, whole: Column, index: Column, least: float = LEAST
     lines = F.filter(F.split(given, "\n"), lambda x: x.rlike(CUE))
     blocks = F.filter(F.split(given, GAP), lambda x: x.contains("\n") & x.rlike(CUE))
     units = F.array_distinct(F.concat(lines, blocks, F.when(whole, F.array(given)).otherwise(F.array().cast("array<string>"))))
-    scored = F.filter(F.transform(units, lambda u: statement(u, index)), lambda s: s["cosine"] >= least)
+    scored = F.filter(F.transform(units, lambda u: statement(u, index, least)), lambda s: s["cosine"] >= least)
     best = F.aggregate(scored, F.struct(F.lit(0.0).alias("cosine"), F.lit(None).cast("string").alias("licence")), lambda a, s: F.when((s["cosine"] > a["cosine"]) | ((s["cosine"] == a["cosine"]) & (s["licence"] < a["licence"])), s).otherwise(a))
     found = F.when(given.rlike(CUE) | whole, best)
     return let(found, lambda b: F.when(b["licence"].isNotNull(), b))
