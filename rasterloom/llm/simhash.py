@@ -18,7 +18,9 @@ as they came. An empty table gives no rows. Extra columns don't matter.
 texts differ in up to about 15 % of the bits, too many for a guarantee, so it takes fingerprints of 64 positional bytes.
 Each text is posted under those combinations of them whose bits are the least likely to change, so many that a pair at
 0.8 itself meets with a probability of 0.95 or more. Pairs of a posting tally their shared positional bytes, and those
-below what 0.8 all but guarantees (three standard errors) go, as do those of too many bits. What is left connects
+below what 0.8 all but guarantees (three standard errors) go, as do those of too many bits. Pairs that this misses meet
+all the same: a text is also posted under its rarest shingles, one more than a text at 0.8 may lack, so that any two such
+texts share one; there only pairs go that are eight standard errors too far. What is left connects
 texts into claims; each claim's shingles come together once and links are decided on them alone. Texts of equal words
 are one, whatever their length. Very long texts are read whole; a claim's blocks are bounded by shingles as well as
 texts.
@@ -147,10 +149,15 @@ def query(docs: DataFrame) -> DataFrame:
 WIDE = 8
 #: Standard errors by which a candidate's bits and tally may miss what its similarity leads to expect.
 MAY_ERRORS = 3.0
-#: Candidates by chance that a text may have, from which on combinations are longer.
-BY_CHANCE = 2
-#: Combinations of so many positional bytes: how many there are, and under how many of these a text is posted.
-POSTED = {2: (1200, 88), 3: (600, 230)}
+#: The same where texts share a rare shingle, which is to miss none: a pair at 0.8 goes with a chance below 1e-12, of sets of 4 and 5 below 1e-6.
+SURE_ERRORS = 8.0
+#: Texts whose shingles are counted to tell common ones, how many must hold one, and how many of the commonest are told. They
+#: only order shingles: whatever the order, texts that are alike share one of those that they are posted under.
+COMMON_OF, COMMON, COMMONEST = 8192, 3, 1 << 16
+#: Bytes of a shingle's hash in a posting, and the key from which postings are of shingles.
+RARE_BYTES, RARE_KEYS = 5, 1 << 40
+#: Combinations of so many positional bytes: how many there are, and under how many of these a text is posted; one length for tables of any size.
+POSTED = {3: (600, 230)}
 #: Ids of documents, up to which they are broadcast, 32 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -201,20 +208,58 @@ def differing(similarity: float) -> tuple[int, int]:
     return int(n * p + MAY_ERRORS * math.sqrt(n * p * (1 - p))), max(1, int(8 * WIDE * same - MAY_ERRORS * math.sqrt(8 * WIDE * same * (1 - same))))
 
 
+def farthest(similarity: float) -> int:
+    """The most bits that wide fingerprints of that similarity differ in, of all but certainly all pairs."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return int(64 * WIDE * p + SURE_ERRORS * math.sqrt(64 * WIDE * p * (1 - p)))
+
+
+def common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of common shingles, and in how many of some texts each is."""
+    import pyarrow as pa
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), width)[1].view(np.int64))], names=["hash"])
+
+    share = math.ceil(min(1.0, COMMON_OF / max(1, docs.count())) * (1 << 20))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("text").mapInArrow(each, "hash long")
+    found = some.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "hash").limit(COMMONEST).collect()
+    hashes, n = np.array([r["hash"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def rarest(hashes: np.ndarray, similarity: float, known: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Of sorted hashes the first by (how common, hash), one more than a set of that similarity may lack: two such sets share one."""
+    n = len(hashes)
+    rank = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, often[at], 0)
+    return hashes[np.argsort(rank, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
+def rare_bytes(hashes: np.ndarray) -> bytes:
+    """The high bytes of hashes, RARE_BYTES each."""
+    return (hashes >> np.uint64(64 - 8 * RARE_BYTES)).view(np.uint8).reshape(-1, 8)[:, :RARE_BYTES].tobytes()
+
+
+def rare_keys(column) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a column of rare_bytes, and how many each row has."""
+    rows = [b.as_py() for b in column]
+    keys = np.zeros((sum(map(len, rows)) // RARE_BYTES, 8), np.uint8)
+    keys[:, :RARE_BYTES] = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, RARE_BYTES)
+    return keys.view(np.int64).reshape(-1) + RARE_KEYS, np.array([len(b) // RARE_BYTES for b in rows], np.int64)
+
+
 def combinations(size: int) -> np.ndarray:
     """The combinations of positional bytes, as rows of positions."""
     g = np.random.default_rng(SEED)
     return np.array([np.sort(g.choice(8 * WIDE, size, replace=False)) for _ in range(POSTED[size][0])])
 
 
-def length(rows: int) -> int:
-    """The shortest combinations by which a text meets at most BY_CHANCE others by chance; each length finds the same share of pairs."""
-    for size, (kinds, posted) in POSTED.items():
-        if rows * posted**2 / kinds / 256**size <= BY_CHANCE:
-            break
-    return size
-
-
 def postings(wide: np.ndarray, size: int) -> np.ndarray:
     """Keys of each text: its most steadfast combinations, with the bytes there."""
     combos, posted = combinations(size), POSTED[size][1]
@@ -226,11 +271,11 @@ def postings(wide: np.ndarray, size: int) -> np.ndarray:
     return np.take_along_axis(keys, best, 1)
 
 
-def candidates(nodes: DataFrame, similarity: float, rows: int) -> DataFrame:
-    """Pairs (a, b) of (node, wide, n): of all that share a posting, a tally of positional bytes and the bits that may mean the similarity, those that connect them."""
+def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of (node, wide, n, rare) that connect all which share a posting and whose bits may mean the similarity; of combinations, also a tally of positional bytes."""
     import pyarrow as pa
 
-    (most, least), size = differing(similarity), length(rows)
+    (most, least), far, (size,) = differing(similarity), farthest(similarity), POSTED
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,10 +283,12 @@ def candidates(nodes: DataFrame, similarity: float, rows: int) -> DataFrame:
                 part = batch.slice(lo, 1024)
                 keys = postings(fixed_bytes(part.column(1)), size)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1])), pa.array(keys.reshape(-1))], names=["node", "key"])
+                keys, held = rare_keys(part.column(2))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), held)), pa.array(keys)], names=["node", "key"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_groups(batches, 3):
-            node, n = rows.column(3).to_numpy(), rows.column(5).to_numpy()
+            node, n, rare = rows.column(3).to_numpy(), rows.column(5).to_numpy(), rows.column(0).to_numpy() >= RARE_KEYS
             marks = np.ascontiguousarray(fixed_bytes(rows.column(4))).view(np.uint64)
 
             def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -250,8 +297,8 @@ def candidates(nodes: DataFrame, similarity: float, rows: int) -> DataFrame:
                 for lo in range(0, len(some), 1 << 16):
                     at = some[lo : lo + (1 << 16)]
                     x = marks[i[at]] ^ marks[j[at]]
-                    tally = (x.view(np.uint8) == 0).sum(axis=1)
-                    ok[at] = (tally >= least) & (np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= most)
+                    tally, bits = (x.view(np.uint8) == 0).sum(axis=1), np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+                    ok[at] = np.where(rare[i[at]], bits <= far, (tally >= least) & (bits <= most))
                 return ok
 
             for i, j in spanning_links(starts, len(node), near):
@@ -260,7 +307,7 @@ def candidates(nodes: DataFrame, similarity: float, rows: int) -> DataFrame:
     bounded_batches(nodes.sparkSession)
     group = ["key", "lo", "hi"]
     marks = nodes.select("node", F.substring("wide", 1, 8 * WIDE).alias("wide"), "n")
-    posts = nodes.select("node", "wide").mapInArrow(post, "node long, key long")
+    posts = nodes.select("node", "wide", "rare").mapInArrow(post, "node long, key long")
     dealt = in_blocks(posts, ["key"], "node", BLOCK, SPREAD, LARGEST).select(*group, "node").join(marks, "node").select(*group, "node", "wide", "n")
     return dealt.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(search, "a long, b long").where("a <> b").distinct()
 
@@ -297,7 +344,8 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
         for batch in batches:
             found = [shingles(t.as_py(), width) for t in batch.column(1)]
             columns = [pa.array([xxh128_digest(line) for line, _ in found], pa.binary()), pa.array([wide_fingerprint(h).tobytes() for _, h in found], pa.binary()), pa.array([len(h) for _, h in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "digest", "wide", "n"])
+            rare = pa.array([rare_bytes(rarest(h, similarity, known, often)) for _, h in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, rare], names=["doc_id", "digest", "wide", "n", "rare"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,10 +364,11 @@ def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
 
     bounded_batches(docs.sparkSession)
     named = docs.select("doc_id", "text").where("doc_id is not null")
-    marks = materialize(named.mapInArrow(mark, "doc_id long, digest binary, wide binary, n long"))
-    nodes = materialize(marks.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")))
+    known, often = common(named, width)
+    marks = materialize(named.mapInArrow(mark, "doc_id long, digest binary, wide binary, n long, rare binary"))
+    nodes = materialize(marks.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(x).alias(x) for x in ("wide", "n", "rare")), F.count(F.lit(1)).alias("copies")))
     # What candidates connect is a claim; within it, all pairs are verified on the shingles, which come there once a block.
-    pairs = candidates(nodes.select("node", "wide", "n"), similarity, nodes.count())
+    pairs = candidates(nodes.select("node", "wide", "n", "rare"), similarity)
     claims = materialize(nodes.select("node", "digest").join(components(pairs), "node").withColumnRenamed("component", "claim"))
     near = F.broadcast(claims) if claims.count() <= BROADCAST_IDS else claims
     texts = named.join(near, F.col("doc_id") == F.col("node")).select("text", "digest", "node", "claim")

@@ -756,3 +756,36 @@ def test_combinations_of_each_length_find_a_pair_at_the_similarity(size):
 def test_repeated_rows_go(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "quite other words than those are"), (None, "x y"), (None, "x y"), (3, "A b c d e f g"), (4, "one id"), (4, "two texts")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(df).collect()) == [(0, "x y"), (0, "x y"), (1, "a b c d e f g"), (2, "quite other words than those are"), (4, "one id"), (4, "two texts")]
+
+
+def test_near_duplicates_are_the_same_among_any_number_of_texts(spark):
+    """Links between the same texts, alone and among more than 20,312 others (where combinations once grew longer)."""
+    rng = random.Random(11)
+    new = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(400):  # pairs of similarity 0.8 and just above
+        base = new(304)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: 271 + k % 5] + new(33 - k % 5)))]
+    others = [(1000 + k, " ".join(new(8))) for k in range(21_000)]
+    few, many = ({r.doc_id: r["first"] for r in simhash.near_classes(spark.createDataFrame(x, "doc_id long, text string")).collect()} for x in (rows, rows + others))
+    assert {d: many[d] for d in few} == few
+
+
+def test_near_duplicates_lose_no_link(spark):
+    """Pairs at 0.8 and just above, in texts long and short, among texts that share a passage: all found, none below."""
+    rng = random.Random(12)
+    new = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    passage, texts, want = new(14), {}, set()
+    for k in range(900):
+        n = (6, 10, 40, 150, 400)[k % 5]
+        base = new(n) + passage * (n > 100)
+        cut = (len(base) - 4) // 9 + k // 5 % 2  # the first shingles differ
+        near = new(cut) + base[cut:]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(near if cut else base[1:])
+        a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (texts[2 * k].split(), texts[2 * k + 1].split()))
+        if len(a & b) / len(a | b) >= 0.8:
+            want.add(k)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r["first"] for r in simhash.near_classes(df).collect()}
+    assert len(want) > 300 and {k for k in range(900) if found[2 * k + 1] == 2 * k} == want
+    assert all(found[2 * k] == 2 * k for k in range(900))
