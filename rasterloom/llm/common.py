@@ -137,19 +137,25 @@ def join_counted(rows: DataFrame, named: DataFrame, key: str, count: str) -> Dat
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
-def in_blocks(posts: DataFrame, keys: list[str], member: str, block: int, spread: int, largest: int, weight: str | None = None, heaviest: int = 1 << 20, alone: bool = False) -> DataFrame:
+def in_blocks(posts: DataFrame, keys: list[str], member: str, block: int, spread: int, largest: int, weight: str | None = None, heaviest: int = 1 << 20, alone: bool = False, once: bool = False) -> DataFrame:
     """posts of keys that have more than one, with (lo, hi): the group in which a row meets others of its key.
 
     A key of at most `block` rows is one group. Of a larger one, rows are cut by the hash of member into blocks, of the
     first size up to `spread` blocks, then into `spread` larger ones, up to `largest`; with weight, also so that a
     block's weights sum to about `heaviest`. Each pair of blocks is a group, so that all pairs of rows meet; with alone,
-    so is each block, and own tells which block a row is of.
+    so is each block, and own tells which block a row is of. With once, rows are counted where a key's rows meet, after one
+    shuffle of posts: where most keys have one row, counts that go apart are as many as the rows themselves.
     """
     sums = [F.count(F.lit(1)).alias("n"), *([F.sum(weight).alias("mass")] if weight else [])]
-    sizes = posts.groupBy(*keys).agg(*sums).where("n > 1")
     parts = F.greatest(F.least(F.ceil(F.col("n") / block), F.lit(spread)), F.ceil(F.col("n") / largest), *([F.ceil(F.col("mass") / heaviest)] if weight else []))
     others = F.expr("sequence(0, parts - 1)" if alone else "case when parts = 1 then array(0) else filter(sequence(0, parts - 1), x -> x != own) end")
-    cut = posts.join(sizes.withColumn("parts", F.least("n", parts).cast("int")).select(*keys, "parts"), keys)
+    if once:
+        over = Window.partitionBy(*keys)
+        sums = [F.count(F.lit(1)).over(over).alias("n"), *([F.sum(weight).over(over).alias("mass")] if weight else [])]
+        cut = posts.select("*", *sums).where("n > 1").withColumn("parts", F.least("n", parts).cast("int")).select(*posts.columns, "parts")
+    else:
+        sizes = posts.groupBy(*keys).agg(*sums).where("n > 1")
+        cut = posts.join(sizes.withColumn("parts", F.least("n", parts).cast("int")).select(*keys, "parts"), keys)
     met = cut.withColumn("own", F.pmod(F.xxhash64(member), F.col("parts")).cast("int")).withColumn("other", F.explode(others))
     return met.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("parts", "other")
 

@@ -308,7 +308,7 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     group = ["key", "lo", "hi"]
     marks = nodes.select("node", F.substring("wide", 1, 8 * WIDE).alias("wide"), "n")
     posts = nodes.select("node", "wide", "rare").mapInArrow(post, "node long, key long")
-    dealt = in_blocks(posts, ["key"], "node", BLOCK, SPREAD, LARGEST).select(*group, "node").join(marks, "node").select(*group, "node", "wide", "n")
+    dealt = in_blocks(posts, ["key"], "node", BLOCK, SPREAD, LARGEST, once=True).select(*group, "node").join(marks, "node").select(*group, "node", "wide", "n")
     return dealt.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(search, "a long, b long").where("a <> b").distinct()
 
 

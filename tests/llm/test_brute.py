@@ -13,7 +13,7 @@ import pytest
 
 import corpus_pipeline
 from rasterloom.llm import embed_dedup, langid, license_scan, line_dedup, mixing, packing, quality, secret_scan, simhash, toxicity
-from rasterloom.llm.common import components, ranked
+from rasterloom.llm.common import components, in_blocks, ranked
 
 SF = "/root/testdata/sf0.001"
 
@@ -789,3 +789,17 @@ def test_near_duplicates_lose_no_link(spark):
     found = {r.doc_id: r["first"] for r in simhash.near_classes(df).collect()}
     assert len(want) > 300 and {k for k in range(900) if found[2 * k + 1] == 2 * k} == want
     assert all(found[2 * k] == 2 * k for k in range(900))
+
+
+def test_postings_are_shuffled_once(spark):
+    """Candidates' postings go through one shuffle by their key, and keys of one row and of many get the same blocks as by counts apart."""
+    nodes = spark.createDataFrame([(i, bytes(range(128)), 5, b"") for i in range(3)], "node long, wide binary, n long, rare binary")
+    plan = simhash.candidates(nodes, 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(key#\d+L?, \d+\)", plan)) == 1
+    assert plan.count("MapInArrow") == 2  # postings are made once; the other searches
+    posts = spark.createDataFrame([(k, i, 1 + i % 3) for k, n in enumerate((1, 2, 5, 9, 1, 40)) for i in range(n)], "key long, node long, w long")
+    for more in ({}, {"alone": True}, {"weight": "w", "heaviest": 8}):
+        apart, once = (in_blocks(posts, ["key"], "node", 4, 3, 10, once=once, **more) for once in (False, True))
+        columns = sorted(apart.columns)
+        assert sorted(once.columns) == columns
+        assert sorted(once.select(columns).collect()) == sorted(apart.select(columns).collect()) != []
