@@ -44,13 +44,15 @@ RATE, MOMENTUM = 0.6, 0.5
 #: Sequences' tokens in a run of `pack_in_order`: a share of all sequences, within these bounds.
 RUN_SHARE, LEAST_RUN, MOST_RUN = 1 / 32, 16, 256
 #: Runs between blanks whose ids a worker keeps, some 200 bytes each: half of them those of late, half those before.
-CACHE_RUNS = 400_000
+CACHE_RUNS = 1_000_000
+#: Characters of texts encoded at once, or one longer text.
+ENCODED = 1 << 22
 #: Words of Latin-1 texts as the tokenizer splits them, after lower-casing.
 LATIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµº\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-z0-9ªµº²³¹¼½¾\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
 #: Separators at which Python splits and the tokenizer does not.
-UNLIKE = re.compile("[\x1c-\x1f]")
+UNLIKE = "\x1c\x1d\x1e\x1f"
 
 
 def default_tokenizer() -> str:
@@ -74,57 +76,88 @@ def _ends_word(path: str) -> np.ndarray:
     return ends
 
 
+@functools.cache
+def _lean(path: str):
+    """The tokenizer for text that is lower-cased, whose words blanks separate: all of it but the normalizer and the split."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    lean = Tokenizer(tokenizer(path).model)
+    lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return lean
+
+
 def _encode_words(words: list[str], path: str) -> dict[str, bytes]:
     """The ids of each word: of all at once, cut after the ids that end words; one by one should the ends not agree."""
-    tok = tokenizer(path)
-    ids = np.array(tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    ids = np.array(_lean(path).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
     ends = (4 * (np.flatnonzero(_ends_word(path)[ids]) + 1)).tolist()
     if len(ends) != len(words) or ends and ends[-1] != 4 * len(ids):
-        return {w: np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words}
+        return {w: np.array(tokenizer(path).encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words}
     all_ids = ids.tobytes()
     return {w: all_ids[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
 
 
+def _encode_runs(runs: list[str], path: str) -> list[bytes]:
+    """The ids of each of distinct runs between blanks: those kept, and those of its words, which are looked up as runs first."""
+    caches = run_ids(path)
+    known, before = caches
+    ids = list(map(known.get, runs))
+    missing = [k for k, x in enumerate(ids) if x is None]
+    inner: dict[int, list[str]] = {}
+    for k in missing:
+        r = runs[k]
+        if (x := before.get(r)) is not None:
+            ids[k] = known[r] = x
+        else:
+            inner[k] = [r] if r.isalpha() else LATIN_WORD.findall(r)
+    of: dict[str, bytes] = {}
+    new = []
+    for w in {w for ws in inner.values() for w in ws}:
+        if (x := known.get(w) or before.get(w)) is None:
+            new.append(w)
+        else:
+            of[w] = x
+    for at in range(0, len(new), 2000):
+        of.update(_encode_words(new[at : at + 2000], path))
+    for k, ws in inner.items():
+        ids[k] = known[runs[k]] = of[ws[0]] if len(ws) == 1 else b"".join([of[w] for w in ws])
+    if len(known) > CACHE_RUNS // 2:
+        caches[:] = [{}, known]
+    return ids
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian 32-bit numbers.
 
-    A text within Latin-1 is lower-cased and split here, at blanks and then into the tokenizer's words, and the ids of
-    each distinct run between blanks are kept; the tokenizer gives a word the same ids wherever it stands. Other texts,
+    Texts within Latin-1 are lower-cased and split here, at blanks and then into the tokenizer's words; each distinct
+    run between blanks is looked up once a call, and its ids are kept; the tokenizer gives a word the same ids wherever it stands. Other texts,
     and those with a special token's opening or a separator that only one of the two splits at, go to it whole.
     """
-    caches = run_ids(path)
-    known, before = caches
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     out: list = [None] * len(texts)
-    split: list[tuple[int, list[str]]] = []
-    new: set[str] = set()
+    plain: list[int] = []
     for i, text in enumerate(texts):
         try:
-            if "<|" in text or UNLIKE.search(text):
+            if "<|" in text or any(c in text for c in UNLIKE):
                 raise ValueError
             text.isascii() or text.encode("latin-1")
         except ValueError:
             out[i] = np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             continue
-        runs = text.lower().split()
-        ids = list(map(known.get, runs))
-        if None in ids:
-            split.append((i, runs))
-            new.update(r for r, x in zip(runs, ids, strict=True) if x is None)
-        else:
-            out[i] = b"".join(ids)
-    if new:
-        again = new & before.keys()
-        known.update((r, before[r]) for r in again)
-        inner = {r: LATIN_WORD.findall(r) for r in new - again}
-        words = list({w for ws in inner.values() for w in ws})
-        of: dict[str, bytes] = {}
-        for at in range(0, len(words), 2000):
-            of.update(_encode_words(words[at : at + 2000], path))
-        known.update((r, b"".join([of[w] for w in ws])) for r, ws in inner.items())
-    for i, runs in split:
-        out[i] = b"".join(map(known.__getitem__, runs))
-    if len(known) > CACHE_RUNS // 2:
-        caches[:] = [{}, known]
+        plain.append(i)
+    split = pc.utf8_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
+    coded = split.values.dictionary_encode()
+    ids = _encode_runs(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), path)
+    tokens, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    run = coded.indices.to_numpy()
+    ends = np.r_[0, np.cumsum(sizes[run])]  # of runs among all texts' ids
+    at = np.repeat((np.cumsum(sizes) - sizes)[run] - ends[:-1], sizes[run])
+    at += np.arange(len(at))
+    all_ids = tokens[at].tobytes()
+    bounds = (4 * ends[split.offsets.to_numpy()]).tolist()
+    for i, a, b in zip(plain, bounds, bounds[1:], strict=False):
+        out[i] = all_ids[a:b]
     return out
 
 
@@ -143,10 +176,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, m
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
+            reach = np.cumsum([len(t or "") + 1 for t in texts])
+            hi = 0
+            while (lo := hi) < len(texts):
+                hi = max(lo + 1, int(np.searchsorted(reach, (reach[lo - 1] if lo else 0) + ENCODED, side="right")))
                 took: list[int] = []
                 rows: list[tuple[int, int, int, int]] = []
-                for i, ids in enumerate(encode([t or "" for t in texts[lo : lo + 256]], path), lo):
+                for i, ids in enumerate(encode([t or "" for t in texts[lo:hi]], path), lo):
                     ids += end
                     n = len(ids) // 4
                     for k, at in enumerate(range(0, n, capacity)):

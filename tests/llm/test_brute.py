@@ -560,6 +560,22 @@ def test_tokens_and_packing(spark, plain):
     assert max(used.values()) <= 4096 and len(used) <= math.ceil(total / 4096) + 2
 
 
+def test_words_are_tokenized_once(spark, monkeypatch):
+    """A word that stood alone is known beside other signs, a run is looked up once a call, and cuts of a batch lose no text."""
+    path, asked, real = packing.default_tokenizer(), [], packing._encode_words
+    monkeypatch.setattr(packing, "_encode_words", lambda words, path: asked.extend(words) or real(words, path))
+    packing.encode(["Zyxomat qorvély zyxomat"], path)
+    packing.encode(['"zyxomat," (QORVÉLY) qorvély\'s', "zyxomat"], path)
+    assert sorted(w for w in asked if w.isalpha()) == ["qorvély", "zyxomat"]
+    texts = ["a b", "", None, "one more text, of words", "x" * 50, " \n", "日本 a", "é\xa0è"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    whole = sorted(packing.pieces(df).collect())
+    monkeypatch.setattr(packing, "ENCODED", 5)
+    assert sorted(packing.pieces(df).collect()) == whole
+    tok = packing.tokenizer(path)
+    assert [r.ids_crc32 for r in whole] == [zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for t in texts]
+
+
 def held(runs, capacity):
     got = np.zeros(capacity + 1, np.int64)
     for copies, lengths, times in runs:
