@@ -23,13 +23,14 @@ from __future__ import annotations
 import functools
 import math
 import re
+import threading
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import bounded_batches, materialize, ranked, tokenizer
@@ -45,6 +46,10 @@ RATE, MOMENTUM = 0.6, 0.5
 RUN_SHARE, LEAST_RUN, MOST_RUN = 1 / 32, 16, 256
 #: Runs between blanks whose ids a worker keeps, some 200 bytes each: half of them those of late, half those before.
 CACHE_RUNS = 1_000_000
+#: The same in `pack_in_order`, whose workers lie beside what other stages have left on their executors.
+CACHE_IN_ORDER = 500_000
+#: Seconds after it last encoded that a process keeps them: workers outlive their stage, idle or at other work.
+KEPT_S = 3.0
 #: Characters of texts encoded at once, or one longer text.
 ENCODED = 1 << 22
 #: Words of Latin-1 texts as the tokenizer splits them, after lower-casing.
@@ -67,6 +72,19 @@ def run_ids(path: str) -> list[dict[str, bytes]]:
     return [{}, {}]
 
 
+#: By tokenizer, what will forget the ids of runs.
+_timers: dict[str, threading.Timer] = {}
+
+
+def forget(path: str) -> None:
+    """Lets the ids of runs go, and what memory is free then."""
+    import pyarrow as pa
+
+    run_ids(path)[:] = [{}, {}]
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 @functools.cache
 def _ends_word(path: str) -> np.ndarray:
     """For each id, whether its token ends a word."""
@@ -96,8 +114,8 @@ def _encode_words(words: list[str], path: str) -> dict[str, bytes]:
     return {w: all_ids[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
 
 
-def _encode_runs(runs: list[str], path: str) -> list[bytes]:
-    """The ids of each of distinct runs between blanks: those kept, and those of its words, which are looked up as runs first."""
+def _encode_runs(runs: list[str], path: str, most: int) -> list[bytes]:
+    """The ids of each of distinct runs between blanks: those kept, and those of its words, which are looked up as runs first; most are kept."""
     caches = run_ids(path)
     known, before = caches
     ids = list(map(known.get, runs))
@@ -120,19 +138,34 @@ def _encode_runs(runs: list[str], path: str) -> list[bytes]:
         of.update(_encode_words(new[at : at + 2000], path))
     for k, ws in inner.items():
         ids[k] = known[runs[k]] = of[ws[0]] if len(ws) == 1 else b"".join([of[w] for w in ws])
-    if len(known) > CACHE_RUNS // 2:
+    if len(known) > most // 2:
         caches[:] = [{}, known]
     return ids
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def encode(texts: list[str], path: str, most: int = CACHE_RUNS) -> list[bytes]:
     """Each text's ids as little-endian 32-bit numbers.
 
     Texts within Latin-1 are lower-cased and split here, at blanks and then into the tokenizer's words; each distinct
     run between blanks is looked up once a call, and its ids are kept; the tokenizer gives a word the same ids wherever it stands. Other texts,
     and those with a special token's opening or a separator that only one of the two splits at, go to it whole.
+
+    At most `most` runs' ids are kept from call to call, and none once KEPT_S have passed without one.
     """
     import pyarrow as pa
+
+    if timer := _timers.pop(path, None):
+        timer.cancel()
+    out = _encode(texts, path, most)
+    pa.default_memory_pool().release_unused()  # else a worker holds some 130 MB of freed buffers
+    _timers[path] = timer = threading.Timer(KEPT_S, forget, [path])
+    timer.daemon = True
+    timer.start()
+    return out
+
+
+def _encode(texts: list[str], path: str, most: int) -> list[bytes]:
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     out: list = [None] * len(texts)
@@ -148,7 +181,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         plain.append(i)
     split = pc.utf8_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
     coded = split.values.dictionary_encode()
-    ids = _encode_runs(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), path)
+    ids = _encode_runs(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), path, most)
     tokens, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     run = coded.indices.to_numpy()
     ends = np.r_[0, np.cumsum(sizes[run])]  # of runs among all texts' ids
@@ -161,10 +194,10 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     return out
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, more: str = "") -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, more: str = "", most: int = CACHE_RUNS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids and end token, cut at the capacity.
 
-    more names columns of docs, with their types, that each piece keeps.
+    more names columns of docs, with their types, that each piece keeps; most is as in `encode`.
     """
     import pyarrow as pa
 
@@ -182,7 +215,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, m
                 hi = max(lo + 1, int(np.searchsorted(reach, (reach[lo - 1] if lo else 0) + ENCODED, side="right")))
                 took: list[int] = []
                 rows: list[tuple[int, int, int, int]] = []
-                for i, ids in enumerate(encode([t or "" for t in texts[lo:hi]], path), lo):
+                for i, ids in enumerate(encode([t or "" for t in texts[lo:hi]], path, most), lo):
                     ids += end
                     n = len(ids) // 4
                     for k, at in enumerate(range(0, n, capacity)):
@@ -442,16 +475,23 @@ def in_order(docs: DataFrame) -> DataFrame:
         return docs.select("doc_id", "text", F.lpad(F.spark_partition_id().cast("string"), 10, "0").alias("file"), F.monotonically_increasing_id().alias("row"))
 
 
+def small_table(spark: SparkSession, **columns: tuple[list, str]) -> DataFrame:
+    """Columns by (values, type), by Arrow: of Python rows Spark makes a table in workers of their own, which stay on the executors."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({name: pa.array(*column) for name, column in columns.items()}))
+
+
 def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """What `pack` gives, with sequences in the order of docs, run by run."""
     import pandas as pd
 
     spark = docs.sparkSession
-    cut = materialize(pieces(in_order(docs), capacity, path, "file string, row long"))
+    cut = materialize(pieces(in_order(docs), capacity, path, "file string, row long", CACHE_IN_ORDER))
     files = sorted(cut.groupBy("file").agg(F.sum("length")).collect(), key=lambda f: (len(f[0]), f[0]))  # a row a file
     before = np.cumsum([0, *(n for _, n in files)]).tolist()
     tokens = capacity * int(min(MOST_RUN, max(LEAST_RUN, before[-1] / capacity * RUN_SHARE)))
-    starts = F.broadcast(spark.createDataFrame([(f, n) for (f, _), n in zip(files, before, strict=False)], "file string, first_token long"))
+    starts = F.broadcast(small_table(spark, file=([f for f, _ in files], "string"), first_token=(before[:-1], "int64")))
     earlier = Window.partitionBy("file").orderBy("row", "piece").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("first_token") + F.coalesce(F.sum("length").over(earlier), F.lit(0))
     dealt = cut.join(starts, "file").withColumn("at", at).withColumn("run", F.floor(F.col("at") / tokens)).drop("file", "row", "first_token")
@@ -471,5 +511,5 @@ def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
     placed = materialize(dealt.groupBy("run").applyInPandas(place, f"{columns}, run long, sequence_id long, offset long"))
     runs = sorted(placed.groupBy("run").agg(F.max("sequence_id") + 1).collect())  # a row a run
     firsts = np.cumsum([0, *(n for _, n in runs)]).tolist()
-    bases = F.broadcast(spark.createDataFrame([(k, n) for (k, _), n in zip(runs, firsts, strict=False)], "run long, base long"))
+    bases = F.broadcast(small_table(spark, run=([k for k, _ in runs], "int64"), base=(firsts[:-1], "int64")))
     return placed.join(bases, "run").select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("sequence_id")).alias("sequence_id"), "offset")

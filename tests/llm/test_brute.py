@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -576,6 +577,25 @@ def test_words_are_tokenized_once(spark, monkeypatch):
     assert [r.ids_crc32 for r in whole] == [zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for t in texts]
 
 
+def test_idle_workers_keep_no_runs(spark, monkeypatch):
+    """Ids of runs go when no text has come for a while, and not before; small tables start no Python workers."""
+    path = packing.default_tokenizer()
+    monkeypatch.setattr(packing, "KEPT_S", 1.0)
+    first = packing.encode(["some words to keep"], path)
+    for _ in range(3):
+        time.sleep(0.5)
+        assert "keep" in packing.run_ids(path)[0] and packing.encode(["some words to keep"], path) == first
+    time.sleep(1.5)
+    assert packing.run_ids(path) == [{}, {}] and packing.encode(["some words to keep"], path) == first
+    words = [f"w{i}" for i in range(50)]
+    ids = packing.encode([" ".join(words)], path)
+    packing.forget(path)
+    assert packing.encode([" ".join(words)], path, 10) == ids and [len(x) for x in packing.run_ids(path)] == [0, 50]
+    assert all(packing.encode([w], path, 10) == packing.encode([w], path) for w in words)
+    plan = packing.pack_in_order(spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation [run" in plan
+
+
 def held(runs, capacity):
     got = np.zeros(capacity + 1, np.int64)
     for copies, lengths, times in runs:
